@@ -253,13 +253,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> D
     return dealt.mapInArrow(_match_tables(radius, segments), "src long, dst long")
 
 
+def label(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """``nodes``, whose fp are distinct, with the root of each one's component."""
+    nodes = materialise(nodes, "nodes")
+    members = connected_components(links(nodes.select("fp"), radius, segments), "src", "dst", workspace=materialise)
+    return nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = links(nodes.select("fp"), radius, segments)
-    members = connected_components(found, "src", "dst", workspace=materialise)
-    label = nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = label.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = label.join(smallest, "root").select("fp", "component_id")
+    labelled = label(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), radius, segments)
+    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_print = labelled.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
