@@ -1,0 +1 @@
+"""Raster analytics on Spark: images and frames as pixel tables."""
