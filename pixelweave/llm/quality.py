@@ -121,12 +121,13 @@ def text_statistics(docs: DataFrame, window: int = WINDOW, keep: Sequence[str] =
     tune_arrow(docs.sparkSession)
     own = {"doc_id": F.col("doc_id").cast("long")} if not keep else {f"kept_{c}": F.col(c) for c in keep}
     rows = docs.select("text", *[c.alias(n) for n, c in own.items()])
+    names = [*own, *COUNTS]
     schema = [*[f"`{n}` {rows.schema[k + 1].dataType.simpleString()}" for k, n in enumerate(own)], *[f"{n} long" for n in COUNTS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(part)) for c in batch.columns[1:]], *[pa.array(x, pa.int64()) for x in _statistics(part, window)]], names=[*own, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(part)) for c in batch.columns[1:]], *[pa.array(x, pa.int64()) for x in _statistics(part, window)]], names=names)
 
     return rows.mapInArrow(run, ", ".join(schema))
 
