@@ -142,15 +142,18 @@ def stratum() -> Column:
 
 
 def tail(n: int, k: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exact: summed from k downwards until the rest is below rounding."""
+    """P(Bin(n, p) <= k), exact: summed from k away from the mean until the rest is below rounding."""
     if k >= n:
         return 1.0
-    total, term = 0.0, math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-    while k >= 0 and (term > total * 1e-17 or term > 0 and k > n * p):
+    above = k >= n * p  # then the terms fall from k + 1 upwards, and the sum is of the other side
+    i = k + 1 if above else k
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total, odds = 0.0, p / (1 - p)
+    while 0 <= i <= n and term > total * 1e-17:
         total += term
-        term *= k / (n - k + 1) * (1 - p) / p
-        k -= 1
-    return min(total, 1.0)
+        term *= (n - i) / (i + 1) * odds if above else i / (n - i + 1) / odds
+        i += 1 if above else -1
+    return max(0.0, 1 - total) if above else min(total, 1.0)
 
 
 def certified(n: int, k: int, risk: float, delta: float) -> bool:

@@ -321,9 +321,17 @@ def test_statistics_of_awkward_rows(spark):
 
 
 def test_tail_is_exact():
-    for n, k, p in ((10, 0, 0.3), (50, 7, 0.2), (200, 1, 0.01), (30, 30, 0.5), (40, 35, 0.5)):
+    for n, k, p in ((10, 0, 0.3), (50, 7, 0.2), (200, 1, 0.01), (30, 30, 0.5), (40, 35, 0.5), (40, 20, 0.5)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert quality.tail(n, k, p) == pytest.approx(want, rel=1e-9)
+    assert quality.tail(6000, 1519, 0.004) == 1 and quality.tail(10**9, 10**6, 0.01) == 0
+    assert not quality.certified(6000, 1519, 0.004, 0.05) and quality.certified(6000, 5, 0.004, 0.05)
+
+
+def binomial(n, k, p):
+    """P(Bin(n, p) <= k) in logarithms, term by term."""
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    return sum(math.exp(x) for x in logs)
 
 
 def test_cutoffs_equal_brute_force(spark):
@@ -336,7 +344,7 @@ def test_cutoffs_equal_brute_force(spark):
     good = [r for r in rows if r[0] % 3]
     value = {"symbols": lambda r: r[3] / r[1], "dup_lines": lambda r: 0.0, "repeats": lambda r: 0.0, "long_words": lambda r: r[2] / r[1], "short_words": lambda r: -r[2] / r[1]}
     for rule, (_, cutoffs) in quality.RULES.items():
-        passed = [c for c in cutoffs if quality.certified(len(good), sum(value[rule](r) > c for r in good), 0.02 / len(quality.RULES), quality.DELTA / tests)]
+        passed = [c for c in cutoffs if binomial(len(good), sum(value[rule](r) > c for r in good), 0.02 / len(quality.RULES)) <= quality.DELTA / tests]
         assert chosen.get((2, rule)) == (passed[0] if passed else None)
     assert {s for s, _ in chosen} == {2}
     judged = quality.judge(stats, chosen).toPandas()
