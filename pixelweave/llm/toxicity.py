@@ -10,10 +10,13 @@ shares most of its n-grams, and so its place, with the word it hides.
 As everything after the embeddings is linear, scoring needs one number per
 embedding row; the executors get that vector.
 
-Training takes rows of ``labels`` that ``held_out`` leaves in, chosen by a hash
-of doc_id: at most about ``FIT_DOCS`` of each label, and texts of at most
-``FIT_CHARS`` characters. Rows of the table that fewer than ``MIN_DOCS``
-training texts touch stay zero.
+Learning takes rows of ``labels`` that ``held_out`` leaves in, chosen by a hash
+of doc_id: at most about ``COUNT_DOCS`` of each label, of texts of at most
+``FIT_CHARS`` characters, equal texts once. In how many of them each embedding
+row occurs is counted on the executors; rows in fewer than ``MIN_DOCS``, or
+whose share differs between the labels by less than ``MIN_ERRORS`` standard
+errors, stay zero, as a few thousand texts would teach them noise. At most
+about ``FIT_DOCS`` toxic texts and twice as many others are trained on.
 
 Defined cases: a null, empty or blank text scores the share of toxic labels
 (0 without any labels, as does every text then). A document labelled more than
@@ -32,11 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ragged, slices, text_bytes, tune_arrow, unit_hash
+from .common import held_out, materialise, ragged, slices, text_bytes, tune_arrow, unit_hash
 
 GRAMS, BUCKETS, WIDTH = (3, 4, 5), 1 << 16, 8
-FIT_DOCS, FIT_CHARS, MIN_DOCS = 1500, 20_000, 4
-EPOCHS, RATE, DECAY, SEED = 80, 0.1, 1e-6, 5
+COUNT_DOCS, FIT_DOCS, FIT_CHARS = 8000, 1500, 20_000
+MIN_DOCS, MIN_ERRORS = 10, 4.0
+EPOCHS, RATE, DECAY, SEED = 200, 0.1, 1e-6, 5
 #: Characters cut from the ends of a word.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -96,62 +100,108 @@ def _mean(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class _Spread:
-    """The sparse mean ``rows of parts -> wholes`` and its transpose."""
+    """The sparse mean ``parts -> wholes`` of one column, and its transpose.
 
-    def __init__(self, parts: np.ndarray, ends: np.ndarray, n_parts: int):
-        self.parts, self.ends = parts, ends
-        counts = np.diff(ends)
-        self.owner = np.repeat(np.arange(len(counts)), counts)
+    Parts that are left out are zero: they count in a mean, and cost nothing else.
+    """
+
+    def __init__(self, parts: np.ndarray, up: np.ndarray, counts: np.ndarray, n_parts: int):
+        """``up`` is the whole of each part kept, in order; ``counts`` the parts of each whole, kept or not."""
+        self.parts, self.up = parts, up
         self.weight = (1 / np.maximum(counts, 1)).astype(np.float32)
-        self.order = np.argsort(parts, kind="stable")
-        self.used, first = np.unique(parts[self.order], return_index=True)
-        self.first, self.n_parts = first, n_parts
+        self.wholes, self.starts = np.unique(self.up, return_index=True)
+        order = np.argsort(self.parts, kind="stable")
+        self.down = self.up[order]
+        self.used, self.first = np.unique(self.parts[order], return_index=True)
+        self.n_wholes, self.n_parts = len(counts), n_parts
+
+    def reached(self) -> np.ndarray:
+        """Wholes with a part that isn't left out."""
+        out = np.zeros(self.n_wholes, bool)
+        out[self.wholes] = True
+        return out
 
     def forward(self, values: np.ndarray) -> np.ndarray:
-        return _mean(values[self.parts], self.ends)
+        out = np.zeros(self.n_wholes, np.float32)
+        if len(self.parts):
+            out[self.wholes] = np.add.reduceat(values[self.parts], self.starts)
+        return out * self.weight
 
     def backward(self, grads: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n_parts, grads.shape[1]), np.float32)
-        if len(self.order):
-            out[self.used] = np.add.reduceat((grads * self.weight[:, None])[self.owner[self.order]], self.first, axis=0)
+        out = np.zeros(self.n_parts, np.float32)
+        if len(self.parts):
+            out[self.used] = np.add.reduceat((grads * self.weight)[self.down], self.first)
         return out
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(one number per embedding row, bias) of the trained model, whose log odds are their mean plus the bias."""
+def _bags(words: pa.Array, live: np.ndarray, step: int = 50_000) -> _Spread:
+    """The mean from embedding rows to words, of live rows; built a step at a time, as most rows aren't."""
+    parts, up, counts = [], [], []
+    for i in range(0, len(words), step):
+        rows, ends = subwords(words.slice(i, step))
+        counts.append(np.diff(ends))
+        kept = live[rows]
+        parts.append(rows[kept].astype(np.int32))
+        up.append(np.repeat(np.arange(i, i + len(ends) - 1, dtype=np.int32), counts[-1])[kept])
+    joined = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (parts, up, counts)]
+    return _Spread(*joined, len(live))
+
+
+def occurrences(texts: pa.Array) -> np.ndarray:
+    """In how many of the texts each embedding row occurs."""
     words, ends = split_words(texts)
     coded = words.dictionary_encode()
     grams, gram_ends = subwords(coded.dictionary)
     codes = np.asarray(coded.indices, np.int64)
-    row_of = np.repeat(np.arange(len(texts)), np.diff(ends))
-    seen = np.unique(row_of * np.int64(len(coded.dictionary)) + codes)  # in how many texts an embedding row occurs
-    touched = np.unique((seen // len(coded.dictionary))[np.repeat(np.arange(len(seen)), np.diff(gram_ends)[seen % len(coded.dictionary)])] * np.int64(BUCKETS) + grams[ragged(gram_ends[:-1][seen % len(coded.dictionary)], np.diff(gram_ends)[seen % len(coded.dictionary)])]) if len(seen) else seen
-    live = np.bincount(touched % BUCKETS, minlength=BUCKETS) >= MIN_DOCS
-    to_words, to_texts = _Spread(grams, gram_ends, BUCKETS), _Spread(codes, ends, len(coded.dictionary))
+    out = np.zeros(BUCKETS, np.int64)
+    for i in range(len(ends) - 1):
+        own = np.unique(codes[ends[i] : ends[i + 1]])
+        out[grams[ragged(gram_ends[own], gram_ends[own + 1] - gram_ends[own])]] += 1  # an index that repeats is added once
+    return out
+
+
+def telling_rows(counts: np.ndarray, sizes: np.ndarray, least: int = MIN_DOCS, errors: float = MIN_ERRORS) -> np.ndarray:
+    """Embedding rows whose share of texts differs between the labels by ``errors`` standard errors.
+
+    ``counts`` has a row of occurrences per label, ``sizes`` the texts of each.
+    """
+    share = counts.sum(axis=0) / sizes.sum()
+    gap = counts[1] / sizes[1] - counts[0] / sizes[0]
+    error = np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]))
+    return (counts.sum(axis=0) >= least) & (np.abs(gap) >= errors * error) & (error > 0)
+
+
+def train(texts: pa.Array, labels: np.ndarray, live: np.ndarray, epochs: int = EPOCHS, decay: float = DECAY, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """(one number per embedding row, bias) of the trained model, whose log odds are their mean plus the bias."""
+    words, ends = split_words(texts)
+    coded = words.dictionary_encode()
+    to_words = _bags(coded.dictionary, live)
+    codes = np.asarray(coded.indices)
+    kept = to_words.reached()[codes]
+    to_texts = _Spread(codes[kept], np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))[kept], np.diff(ends), len(coded.dictionary))
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((BUCKETS, WIDTH)) * 0.1).astype(np.float32) * live[:, None]
+    table = (rng.standard_normal((WIDTH, BUCKETS)) * 0.1).astype(np.float32) * live
     out = (rng.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     onehot = np.eye(2, dtype=np.float32)[labels]
-    balance = (len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1)))[labels].astype(np.float32)[:, None] / len(labels)
     params = [table, out, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, epochs + 1):
-        vectors = to_texts.forward(to_words.forward(table))
+        vectors = np.stack([to_texts.forward(to_words.forward(row)) for row in table], axis=1)
         logits = vectors @ out + bias
         logits -= logits.max(axis=1, keepdims=True)
         share = np.exp(logits)
         share /= share.sum(axis=1, keepdims=True)
-        error = (share - onehot) * balance
-        grads = [to_words.backward(to_texts.backward(error @ out.T)), vectors.T @ error + DECAY * out, error.sum(axis=0)]
-        grads[0] = (grads[0] + DECAY * table) * live[:, None]
+        error = (share - onehot) / len(labels)
+        back = error @ out.T
+        grads = [np.stack([to_words.backward(to_texts.backward(np.ascontiguousarray(back[:, k]))) for k in range(WIDTH)]), vectors.T @ error, error.sum(axis=0)]
+        grads[0] = (grads[0] + decay * table) * live
         rate = RATE * (1 - (step - 1) / epochs)
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
-    turn = out[:, 1] - out[:, 0]
-    return table @ turn, float(bias[1] - bias[0])
+    return (out[:, 1] - out[:, 0]) @ table, float(bias[1] - bias[0])
 
 
 class Model:
@@ -171,22 +221,49 @@ class Model:
         return np.where(np.diff(ends) > 0, 1 / (1 + np.exp(-np.clip(odds, -500, 500))), self.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Train on the driver, on the bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, count_docs: int = COUNT_DOCS, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """Choose embedding rows from counts made on the executors, and train on the driver, on bounded samples."""
+    spark = docs.sparkSession
+    tune_arrow(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    untrained = Model(np.empty(0, np.float32), 0.0, prior)
     if len(sizes) < 2:
-        return Model(np.empty(0, np.float32), 0.0, prior)
-    share = F.when(F.col("toxic") == 1, min(1.0, fit_docs / sizes[1])).otherwise(min(1.0, fit_docs / sizes[0]))
-    chosen = known.where(unit_hash("doc_id", seed=13) < share)  # about 2 * fit_docs rows at any size
+        return untrained
+    share = F.when(F.col("toxic") == 1, min(1.0, count_docs / sizes[1])).otherwise(min(1.0, count_docs / sizes[0]))
+    draw = unit_hash("doc_id", seed=13)
+    chosen = known.where(draw < share).withColumn("rank", draw / share)  # about 2 * count_docs rows at any size
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= fit_chars)
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    if not len(sample):
-        return Model(np.empty(0, np.float32), 0.0, prior)
-    column = sample.column("text").combine_chunks().cast(pa.large_string())
-    row, bias = train(column, sample.column("toxic").to_numpy())
+    # copies of a text would count its words again and again
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("rank").alias("rank"))
+    sample = materialise(sample, "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            toxic = np.asarray(batch.column(1))
+            for label in (0, 1):
+                for _, part in slices(batch.column(0).filter(pa.array(toxic == label)), 1 << 21):
+                    total[label] += occurrences(part)
+                    seen[label] += len(part)
+        found = np.flatnonzero(total.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array([*found, BUCKETS], pa.int64()), pa.array([*total[0, found], seen[0]], pa.int64()), pa.array([*total[1, found], seen[1]], pa.int64())], names=["row", "clean", "toxic"])
+
+    counted = sample.select("text", "toxic").mapInArrow(count, "row long, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counts = np.zeros((2, BUCKETS + 1), np.int64)
+    for label, name in enumerate(("clean", "toxic")):
+        counts[label, counted.column("row").to_numpy()] = counted.column(name).to_numpy()
+    if not counts[:, BUCKETS].all():
+        return untrained
+    live = telling_rows(counts[:, :BUCKETS], counts[:, BUCKETS])
+    part = F.when(F.col("toxic") == 1, fit_docs / min(count_docs, sizes[1])).otherwise(2 * fit_docs / min(count_docs, sizes[0]))
+    rows = sample.where(F.col("rank") < part).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+    toxic = rows.column("toxic").to_numpy()
+    if len(set(toxic.tolist())) < 2:
+        return untrained
+    row, bias = train(rows.column("text").combine_chunks().cast(pa.large_string()), toxic, live)
     return Model(row.astype(np.float32), bias, prior)
 
 

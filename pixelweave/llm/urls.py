@@ -10,8 +10,8 @@ siblings: a branch whose shares of blocked and allowed urls (labelled by the
 rules, among all its urls) lie within ``z`` standard errors of the pool's is
 merged into a wildcard, as is a rare branch of a node with many; a branch that
 differs keeps its name. Each template's labelled purity, the share of blocked
-among labelled urls smoothed by ``weight`` urls of the overall share, rejects
-it from ``purity`` on. The tree has ``depth`` levels; what lies deeper belongs
+among labelled urls smoothed by ``weight`` urls of even odds, rejects it from
+``purity`` on, so a template without labels is allowed. The tree has ``depth`` levels; what lies deeper belongs
 to the node above it.
 
 The tree is built from counts per host and shape of path, so a host with a
@@ -77,9 +77,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = tuple(RULES), depth: int = D
     for level in range(depth):
         tree = materialise(_descend(tree, level, z, many, rare), "url-tree")
     templates = tree.groupBy("host", "node").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    a, b = templates.agg(F.coalesce(F.sum("ta"), F.lit(0)), F.coalesce(F.sum("tb"), F.lit(0))).first()
-    overall = b / (a + b) if a + b else 0.0
-    smoothed = (F.col("tb") + F.lit(weight * overall)) / (F.col("ta") + F.col("tb") + F.lit(weight))
+    smoothed = (F.col("tb") + F.lit(weight / 2)) / (F.col("ta") + F.col("tb") + F.lit(weight))
     verdicts = templates.select("host", "node", F.when(smoothed >= purity, "block").otherwise("allow").alias("learned"))
     by_shape = tree.join(verdicts, ["host", "node"]).select("host", "shapes", F.col("node").alias("template"), "learned")
     return rows.join(by_shape, ["host", "shapes"]).select("page_id", "host", "path", "rule", F.coalesce("listed", "learned").alias("verdict"), "template")
@@ -127,7 +125,6 @@ def oracle(rules: Sequence[Rule] = tuple(RULES), depth: int = DEPTH, z: float =
             array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{LONG_HEX}') THEN '{{x}}' ELSE regexp_replace(x, '{DIGITS}', '{{n}}', 'g') END)[1:{depth}], '/') AS shapes FROM parsed),
         tree0 AS (SELECT host, shapes, count(*)::DOUBLE n, count(CASE WHEN listed = 'allow' THEN 1 END)::DOUBLE a, count(CASE WHEN listed = 'block' THEN 1 END)::DOUBLE b, '' AS node FROM judged GROUP BY host, shapes),{levels}
         template AS (SELECT host, node, sum(a) ta, sum(b) tb FROM tree{depth} GROUP BY ALL),
-        overall AS (SELECT CASE WHEN sum(ta) + sum(tb) > 0 THEN sum(tb) / (sum(ta) + sum(tb)) ELSE 0 END AS share FROM template),
-        learned AS (SELECT host, node, CASE WHEN (tb + {weight}::DOUBLE * share) / (ta + tb + {weight}::DOUBLE) >= {purity}::DOUBLE THEN 'block' ELSE 'allow' END AS learned FROM template, overall)
+        learned AS (SELECT host, node, CASE WHEN (tb + {weight / 2}::DOUBLE) / (ta + tb + {weight}::DOUBLE) >= {purity}::DOUBLE THEN 'block' ELSE 'allow' END AS learned FROM template)
     SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.listed, l.learned) AS verdict, t.node AS template
     FROM judged j JOIN tree{depth} t ON j.host = t.host AND j.shapes = t.shapes JOIN learned l ON t.host = l.host AND t.node = l.node"""

@@ -548,6 +548,16 @@ def test_subwords_share_grams():
     assert [int(n) for n in np.diff(ends)] == [1 + 5 + 4 + 3, 1 + 6 + 5 + 4, 13, 2, 1 + 8 + 7 + 6]
 
 
+def test_occurrences_equal_brute_force():
+    texts = ["one two two", "", "two three", "three"]
+    found = toxicity.occurrences(pa.array(texts, pa.large_string()))
+    want = np.zeros(toxicity.BUCKETS, int)
+    for t in texts:
+        if t:
+            want[np.unique(toxicity.subwords(pa.array(t.split()))[0])] += 1
+    assert found.tolist() == want.tolist()
+
+
 def test_training_finds_words_and_their_misspellings():
     rng = np.random.default_rng(0)
     common = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
@@ -558,7 +568,11 @@ def test_training_finds_words_and_their_misspellings():
             words[3] = ["zorkum", "Zorkum!"][i % 4 // 2]
         texts.append(" ".join(words))
         labels.append(i % 2)
-    row, bias = toxicity.train(pa.array(texts, pa.large_string()), np.array(labels))
+    labels = np.array(labels)
+    column = lambda label: pa.array([t for t, x in zip(texts, labels, strict=True) if x == label], pa.large_string())
+    live = toxicity.telling_rows(np.stack([toxicity.occurrences(column(0)), toxicity.occurrences(column(1))]), np.array([150, 150]))
+    assert 5 <= live.sum() <= 40
+    row, bias = toxicity.train(pa.array(texts, pa.large_string()), labels, live)
     model = toxicity.Model(row, bias, 0.1)
     test = [" ".join(rng.choice(common, 80).tolist() + extra) for extra in ([], ["zorkum"], ["zorkumm"], [])]
     assert (model.score(pa.array(test, pa.large_string())) >= 0.5).tolist() == [False, True, True, False]
