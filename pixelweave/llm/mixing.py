@@ -71,7 +71,7 @@ def shard_quotas(lines: DataFrame, block: int = BLOCK_WORDS, limit: float = LIMI
     """Words that each shard takes of each source: ``lines`` has shard, place, line (words) and share (target)."""
     shard = W.partitionBy("shard")
     totals = (
-        lines.withColumn("all_share", F.sum("share").over(shard))
+        lines.withColumn("all_share", F.sum("share").over(shard.orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))  # in one order, so sums round alike
         .withColumn("n_sources", F.count("*").over(shard))
         .withColumn("seats", F.greatest(F.lit(1.0), F.round(F.col("all_share") / block)))
         .withColumn("part", F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share")).otherwise(F.lit(0.0)))
@@ -111,3 +111,32 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weigh
 
     taken = F.col("passes") * F.col("size") + shared(F.col("first"), F.least("last", "line")) + shared(F.lit(0), F.col("last") - F.col("line"))
     return met.select("doc_id", *[F.col(f"kept_{c}").alias(f"kept_{c}" if prefixed else c) for c in keep], "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def oracle(weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: int = LIMIT, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> str:
+    """``mix`` of the table documents as DuckDB SQL."""
+    turns = " ".join(f"WHEN {k} THEN {float(w)}" for k, w in enumerate(weights))
+    drawn = "CAST('0x' || substr({0}, 1, 8) AS BIGINT)"
+    share = "greatest(0, least(l.{1}, {3}) - greatest(l.{0}, {2}))"
+    return f"""
+    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}')) AS size, md5('{seed}|' || coalesce(doc_id::VARCHAR, md5(text), '')) AS deal FROM documents),
+        sources AS (SELECT source, sum(size)::DOUBLE AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
+        named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sources),
+        capped AS (SELECT *, (CASE place % {len(weights)} {turns} END)::DOUBLE AS weight, {limit} * source_size AS cap FROM named),
+        ordered AS (SELECT *, cap / weight AS ratio FROM capped),
+        levels AS (SELECT *, ({volume}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ordered),
+        targets AS (SELECT source, place, source_size, CASE WHEN ratio <= level THEN cap ELSE max(CASE WHEN ratio > level THEN level END) OVER () * weight END AS target FROM levels),
+        placed AS (SELECT d.doc_id, d.size, d.deal, t.place, t.source_size, t.target, {drawn.format("d.deal")} % greatest(1, (SELECT CAST(ceil(count(*) / {shard_docs}::DOUBLE) AS BIGINT) FROM documents)) AS shard FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        lines AS (SELECT shard, place, sum(size) AS line, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size) / any_value(source_size) ELSE 0 END AS share FROM placed GROUP BY shard, place),
+        totals AS (SELECT *, sum(share) OVER (PARTITION BY shard ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_share, count(*) OVER (PARTITION BY shard) AS n_sources FROM lines),
+        seated AS (SELECT *, greatest(1, round(all_share / {block})) AS seats, CASE WHEN all_share > 0 THEN share / all_share ELSE 0 END AS part FROM totals),
+        sure AS (SELECT *, greatest(0, ceil(part * (seats - n_sources / 2) - 0.5::DOUBLE))::BIGINT AS sure FROM seated),
+        wide AS (SELECT *, greatest(sure, ceil(part * (seats + n_sources / 2) + 0.5::DOUBLE)::BIGINT) AS most, seats::BIGINT - sum(sure) OVER (PARTITION BY shard) AS contested FROM sure),
+        rivals AS (SELECT shard, place, share, contested, unnest(range(sure, most + 1)) AS seat FROM wide WHERE share > 0),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY share / (2 * seat + 1) DESC, place) AS nth FROM rivals),
+        won AS (SELECT shard, place, count(*) AS won FROM ranks WHERE nth <= contested GROUP BY shard, place),
+        quotas AS (SELECT w.shard, w.place, w.line, least((w.sure + coalesce(won.won, 0)) * {block}, w.line * {limit}) AS quota FROM wide w LEFT JOIN won USING (shard, place)),
+        starts AS (SELECT *, CASE WHEN line > 0 THEN {drawn.format(f"md5('{seed}|' || shard || '|' || place)")} % CAST(ceil(line / {block}::DOUBLE) AS BIGINT) * {block} ELSE 0 END AS first, CASE WHEN line > 0 THEN quota // line ELSE 0 END AS passes FROM quotas),
+        laid AS (SELECT *, sum(size) OVER (PARTITION BY shard, place ORDER BY deal, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM placed),
+        l AS (SELECT a.*, a.until - a.size AS since, s.line, s.quota, s.first, s.passes, s.first + s.quota - s.passes * s.line AS last FROM laid a JOIN starts s ON a.shard = s.shard AND a.place = s.place)
+    SELECT doc_id, size, source_size::BIGINT AS source_size, target, CAST(passes * size + {share.format("since", "until", "first", "least(last, line)")} + {share.format("since", "until", "0", "last - line")} AS BIGINT) AS taken FROM l"""

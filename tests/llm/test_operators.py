@@ -358,6 +358,7 @@ def test_op7(spark, sql, documents):
     got = run(spark, "op7_source_mixing").toPandas()
     check_mix(got, {int(d): s for d, s in zip(documents.doc_id, documents.source, strict=True)}, {int(d): len(WORD.findall(t or "")) for d, t in zip(documents.doc_id, documents.text, strict=True)})
     assert rows_of(got) == rows_of(run(spark, "op7_source_mixing").toPandas())
+    assert rows_of(got) == rows_of(sql.execute(llm_queries.oracle_sql()["op7_source_mixing"]).df())
 
 
 def check_mix(got, source, size):
