@@ -7,12 +7,16 @@ makes a result independent of the order of rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbours import gather
 
-MAX_STEPS, STOP_SHIFT, FIRST_SHIFT = 5, 3, 5
+MAX_STEPS, STOP_SHIFT, FIRST_SHIFT, LARGEST = 5, 3, 5, 16
+#: Side of a tile, without its halo.
+TILE = 64
 
 _SUMS = "aggregate(near, named_struct('n', 0L, 's0', 0L, 's1', 0L, 's2', 0L, 'sx', 0L, 'sy', 0L), (a, p) -> IF((p.c0 * 100D / 255D - at.l) * (p.c0 * 100D / 255D - at.l) + (p.c1 - 128D - at.u) * (p.c1 - 128D - at.u) + (p.c2 - 128D - at.v) * (p.c2 - 128D - at.v) <= {limit}, named_struct('n', a.n + 1L, 's0', a.s0 + p.c0, 's1', a.s1 + p.c1, 's2', a.s2 + p.c2, 'sx', a.sx + p.x, 'sy', a.sy + p.y), a))"
 
@@ -40,8 +44,70 @@ def finish(state: DataFrame) -> DataFrame:
     return state.select("image_id", "x", "y", F.expr("at.l * 255D / 100D").alias("f0"), F.expr("at.u + 128D").alias("f1"), F.expr("at.v + 128D").alias("f2"), F.col("at.steps").alias("iters"))
 
 
-def mean_shift(pixels: DataFrame, radius: int, colour_range: float, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(image_id, x, y, f0, f1, f2, iters) of every pixel."""
+def clamped(value: int) -> int:
+    """The programs know radii and loop counts from 1 to 16; anything else runs as 16."""
+    return value if 1 <= value <= LARGEST else LARGEST
+
+
+def with_halo(pixels: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Adds tile_x and tile_y; a pixel within ``radius`` of a tile is there, too, as its halo."""
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+    return pixels.withColumn("tile_x", tiles("x")).withColumn("tile_y", tiles("y"))
+
+
+def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int):
+    """All pixels of a tile at once: a pass over the window's offsets for each step, on those that still move."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, top, side = int(key[1]) * tile - radius, int(key[2]) * tile - radius, tile + 2 * radius
+        x, y = pdf["x"].to_numpy() - left, pdf["y"].to_numpy() - top
+        here, colour = np.zeros((side, side), bool), np.zeros((3, side, side))
+        here[y, x] = True
+        for k in range(3):
+            colour[k, y, x] = pdf[f"c{k}"].to_numpy()
+        coded = np.stack([colour[0] * 100.0 / 255.0, colour[1] - 128.0, colour[2] - 128.0])
+        own = (x >= radius) & (x < radius + tile) & (y >= radius) & (y < radius + tile)
+        x, y = x[own], y[own]
+        at, px, py = coded[:, y, x], (x + left).astype(np.int64), (y + top).astype(np.int64)
+        shift, steps = np.full(len(x), float(FIRST_SHIFT)), np.zeros(len(x), np.int32)
+        for _ in range(max_steps):
+            go = np.flatnonzero(shift > STOP_SHIFT)
+            if not len(go):
+                break
+            n, sums = np.zeros(len(go)), np.zeros((5, len(go)))
+            for dy in range(-radius, radius + 1):
+                for dx in range(-radius, radius + 1):
+                    ny, nx = y[go] + dy, x[go] + dx
+                    gap = coded[:, ny, nx] - at[:, go]
+                    member = here[ny, nx] & (gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= colour_range)
+                    n += member
+                    sums[:3] += colour[:, ny, nx] * member
+                    sums[3] += (nx + left) * member
+                    sums[4] += (ny + top) * member
+            go, sums, n = go[n > 0], sums[:, n > 0], n[n > 0]
+            now = np.stack([sums[0] * 100.0 / 255.0 / n, sums[1] / n - 128.0, sums[2] / n - 128.0])
+            to_x, to_y = np.floor(sums[3] / n).astype(np.int64) + 1, np.floor(sums[4] / n).astype(np.int64) + 1
+            gap = now - at[:, go]
+            shift[go] = (to_x - px[go]) ** 2 + (to_y - py[go]) ** 2 + gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+            at[:, go], px[go], py[go] = now, to_x, to_y
+            steps[go] += 1
+        return pd.DataFrame({"image_id": np.full(len(x), key[0], np.int64), "x": (x + left).astype(np.int32), "y": (y + top).astype(np.int32), "f0": at[0] * 255.0 / 100.0, "f1": at[1] + 128.0, "f2": at[2] + 128.0, "iters": steps})
+
+    return run
+
+
+def mean_shift(pixels: DataFrame, radius: int, colour_range: float, max_steps: int = MAX_STEPS, engine: str | None = None, tile: int = TILE) -> DataFrame:
+    """(image_id, x, y, f0, f1, f2, iters) of every pixel.
+
+    ``engine`` "windows" stays in the JVM, holds a window per pixel and needs
+    full images; "tiles" works on tiles with a halo, whose memory hardly grows
+    with the radius, and takes images with gaps. Both give the same numbers; by
+    default tiles run, being faster.
+    """
+    if (engine or "tiles") == "tiles":
+        tile = max(tile, 2 * radius)
+        spread = with_halo(pixels.select("image_id", "x", "y", "c0", "c1", "c2"), radius, tile)
+        return spread.groupBy("image_id", "tile_x", "tile_y").applyInPandas(_tile_filter(radius, float(colour_range), max_steps, tile), "image_id long, x int, y int, f0 double, f1 double, f2 double, iters int")
     state = start(pixels, radius)
     for _ in range(max_steps):
         state = step(state, colour_range)

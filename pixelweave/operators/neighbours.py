@@ -14,6 +14,7 @@ def gather(pixels: DataFrame, radius: int) -> DataFrame:
 
     Two nested frames, along rows and then along columns, so the window is
     built from two sorts and no join, and out-of-range neighbours are absent.
+    Images must be full: a row reaches a window through the pixel in its column.
     """
     along = W.partitionBy("image_id", "y").orderBy("x").rangeBetween(-radius, radius)
     down = W.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
@@ -22,7 +23,7 @@ def gather(pixels: DataFrame, radius: int) -> DataFrame:
 
 
 def window_statistics(pixels: DataFrame, radius: int) -> DataFrame:
-    """Count and channel sums of each pixel's window, by the same nested frames without arrays."""
+    """Count and channel sums of each pixel's window in full images, by the same nested frames without arrays."""
     along = W.partitionBy("image_id", "y").orderBy("x").rangeBetween(-radius, radius)
     down = W.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
     rows = pixels.select("image_id", "x", "y", F.count("*").over(along).alias("n_"), *[F.sum(c).over(along).alias(f"{c}_") for c in CHANNELS])

@@ -98,14 +98,26 @@ def brute_mean_shift(image, radius, limit):
     return out
 
 
-@pytest.mark.parametrize("name", ["one", "row", "snake", "random", "checkerboard"])
-def test_mean_shift(spark, name):
+@pytest.mark.parametrize("engine", ["windows", "tiles"])
+@pytest.mark.parametrize("name", ["one", "row", "snake", "random"])
+def test_mean_shift(spark, name, engine):
     image = RASTERS[name]
-    got = meanshift.mean_shift(table(spark, [(0, image)]), 2, 30.0).orderBy("y", "x").collect()
+    got = meanshift.mean_shift(table(spark, [(0, image)]), 2, 30.0, engine=engine, tile=4).orderBy("y", "x").collect()
     for row, (f0, f1, steps) in zip(got, brute_mean_shift(image, 2, 30.0), strict=True):
         assert row["iters"] == steps and abs(row["f0"] - f0) < 1e-9 and abs(row["f1"] - f1) < 1e-9
 
 
+def test_engines_agree_exactly(spark):
+    rng = np.random.default_rng(6)
+    pixels = table(spark, [(i, rng.integers(0, 256, (23, 17)) // 32 * 32) for i in range(2)])
+    key = lambda engine: sorted(tuple(r) for r in meanshift.mean_shift(pixels, 3, 1500.0, engine=engine, tile=8).collect())
+    assert key("windows") == key("tiles")
+
+
+def test_clamped():
+    assert [meanshift.clamped(k) for k in (-1, 0, 1, 7, 16, 17)] == [16, 16, 1, 7, 16, 16]
+
+
 def test_mean_shift_limit_is_inclusive(spark):
     image = np.array([[0, 51]])  # distance 20^2 + 51^2 + 51^2
     at = meanshift.mean_shift(table(spark, [(0, image)]), 1, 20.0**2 + 2 * 51**2).orderBy("x").first()
