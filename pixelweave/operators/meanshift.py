@@ -55,6 +55,36 @@ def with_halo(pixels: DataFrame, radius: int, tile: int) -> DataFrame:
     return pixels.withColumn("tile_x", tiles("x")).withColumn("tile_y", tiles("y"))
 
 
+def _window_sums(colour: np.ndarray, coded: np.ndarray, here: np.ndarray, corner: tuple[int, int], radius: int, limit: float, at: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members, sums of the channels, x and y) over the windows of the pixels at y, x whose colours are ``at``.
+
+    If the pixels fill a rectangle, each offset is a shifted view of the tile; else they are picked.
+    """
+    left, top = corner
+    high, wide = (int(v.max() - v.min()) + 1 if len(v) else 0 for v in (y, x))
+    whole = len(y) == high * wide  # then they lie in raster order
+    if whole:
+        at, y0, x0 = at.reshape(3, high, wide), int(y[0]) if len(y) else 0, int(x[0]) if len(x) else 0
+    shape = (high, wide) if whole else (len(y),)
+    n, sums = np.zeros(shape, np.int64), np.zeros((5, *shape))
+    rows, columns = (y0 + np.arange(high)[:, None], x0 + np.arange(wide)[None, :]) if whole else (y, x)
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            pick = (slice(y0 + dy, y0 + dy + high), slice(x0 + dx, x0 + dx + wide)) if whole else (y + dy, x + dx)
+            gap = coded[0][pick] - at[0]
+            d = gap * gap
+            for k in (1, 2):
+                gap = coded[k][pick] - at[k]
+                d += gap * gap
+            member = here[pick] & (d <= limit)
+            n += member
+            for k in range(3):
+                sums[k] += colour[k][pick] * member
+            sums[3] += member * (columns + (dx + left))
+            sums[4] += member * (rows + (dy + top))
+    return n.reshape(-1), sums.reshape(5, -1)
+
+
 def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int):
     """All pixels of a tile at once: a pass over the window's offsets for each step, on those that still move."""
 
@@ -66,24 +96,18 @@ def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int):
         for k in range(3):
             colour[k, y, x] = pdf[f"c{k}"].to_numpy()
         coded = np.stack([colour[0] * 100.0 / 255.0, colour[1] - 128.0, colour[2] - 128.0])
-        own = (x >= radius) & (x < radius + tile) & (y >= radius) & (y < radius + tile)
-        x, y = x[own], y[own]
-        at, px, py = coded[:, y, x], (x + left).astype(np.int64), (y + top).astype(np.int64)
+        y, x = np.nonzero(here[radius : radius + tile, radius : radius + tile])
+        y, x = y + radius, x + radius
+        at, px, py = coded[:, y, x], x + left, y + top
         shift, steps = np.full(len(x), float(FIRST_SHIFT)), np.zeros(len(x), np.int32)
         for _ in range(max_steps):
             go = np.flatnonzero(shift > STOP_SHIFT)
             if not len(go):
                 break
-            n, sums = np.zeros(len(go)), np.zeros((5, len(go)))
-            for dy in range(-radius, radius + 1):
-                for dx in range(-radius, radius + 1):
-                    ny, nx = y[go] + dy, x[go] + dx
-                    gap = coded[:, ny, nx] - at[:, go]
-                    member = here[ny, nx] & (gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= colour_range)
-                    n += member
-                    sums[:3] += colour[:, ny, nx] * member
-                    sums[3] += (nx + left) * member
-                    sums[4] += (ny + top) * member
+            pick = np.arange(len(x)) if len(go) > len(x) // 3 else go  # views of all cost less than picking many
+            n, sums = _window_sums(colour, coded, here, (left, top), radius, colour_range, at[:, pick], y[pick], x[pick])
+            if len(pick) > len(go):
+                n, sums = n[go], sums[:, go]
             go, sums, n = go[n > 0], sums[:, n > 0], n[n > 0]
             now = np.stack([sums[0] * 100.0 / 255.0 / n, sums[1] / n - 128.0, sums[2] / n - 128.0])
             to_x, to_y = np.floor(sums[3] / n).astype(np.int64) + 1, np.floor(sums[4] / n).astype(np.int64) + 1

@@ -112,6 +112,13 @@ def test_engines_agree_exactly(spark):
     pixels = table(spark, [(i, rng.integers(0, 256, (23, 17)) // 32 * 32) for i in range(2)])
     key = lambda engine: sorted(tuple(r) for r in meanshift.mean_shift(pixels, 3, 1500.0, engine=engine, tile=8).collect())
     assert key("windows") == key("tiles")
+    gaps = pixels.where("NOT (x = 5 AND y = 7) AND NOT (x > 8 AND y > 3 AND y < 20)")
+    for tile in (6, 16):
+        got = meanshift.mean_shift(gaps, 3, 1500.0, tile=tile).collect()
+        assert len(got) == gaps.count()
+        if tile == 6:
+            first = sorted(map(tuple, got))
+    assert sorted(map(tuple, got)) == first
 
 
 def test_clamped():
