@@ -64,6 +64,14 @@ def square_scene(spark: SparkSession, width: int = SCENE_WIDTH, height: int = SC
     return grid.join(drawn, ["x", "y"], "left").select(F.lit(0).cast("long").alias("image_id"), "x", "y", value.alias("c0"), value.alias("c1"), value.alias("c2"))
 
 
+def hashed_raster(spark: SparkSession, images: int, width: int, height: int, patch: int = 8, noise: int = 12) -> DataFrame:
+    """Images of patches in hashed colours with hashed noise: deterministic pixels at any size, for timing."""
+    area = width * height
+    pixels = spark.range(images * area).select(F.floor(F.col("id") / area).cast("long").alias("image_id"), (F.col("id") % width).cast("int").alias("x"), F.floor((F.col("id") % area) / width).cast("int").alias("y"), "id")
+    channel = lambda k: (F.pmod(F.xxhash64("image_id", F.floor(F.col("x") / patch), F.floor(F.col("y") / patch), F.lit(k)), F.lit(256 - noise)) + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(noise))).cast("int")
+    return pixels.select("image_id", "x", "y", *[channel(k).alias(f"c{k}") for k in range(3)])
+
+
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of JPEG, PNG, BMP or GIF files, by Spark's image source.
 
