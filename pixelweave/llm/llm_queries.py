@@ -86,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, urls
+    from . import mixing, quality, urls
 
-    return {"op1_url_filters": urls.oracle(), "op7_source_mixing": mixing.oracle()}
+    return {"op1_url_filters": urls.oracle(), "op5_quality_rules": quality.oracle(), "op7_source_mixing": mixing.oracle()}

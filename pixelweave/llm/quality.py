@@ -198,3 +198,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     """doc_id, the counts, base_failed and kept of every document."""
     statistics = materialise(text_statistics(docs), "statistics")
     return judge(statistics, choose_cutoffs(statistics, labels, risk, delta))
+
+
+def oracle(window: int = WINDOW, risk: float = RISK, delta: float = DELTA) -> str:
+    """``quality_rules`` of the tables documents and labels as DuckDB SQL."""
+    space = r"\x20\x09-\x0D"
+    symbols = "[^#*$%&|<>]"
+    band = " + ".join(f"(n_words >= {b})::INT" for b in BANDS)
+    values = " UNION ALL ".join(f"SELECT r, stratum, '{rule}' AS rule, {value.replace('/ n_words', '/ greatest(n_words, 1)')} AS value FROM judged" for rule, (value, _) in RULES.items())
+    cutoffs = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, (_, own) in RULES.items() for i, c in enumerate(own))
+    n_tests = (len(BANDS) + 1) * sum(len(c) for _, c in RULES.values())
+    p = f"({risk / len(RULES)!r}::DOUBLE)"
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^{space}]+') AS ws FROM t),
+        win AS (SELECT r, i, array_to_string(ws[i:i + {window - 1}], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM w)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+        cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range({window}) x(k) GROUP BY r),
+        line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
+        dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^{space}]') GROUP BY r),
+        stats AS (SELECT w.r, w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '{symbols}', '', 'g')) AS n_symbols,
+            coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN dup ON dup.r = w.r LEFT JOIN cov ON cov.r = w.r),
+        judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {band} AS stratum FROM stats),
+        good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        vals AS ({values}),
+        held AS (SELECT v.* FROM vals v JOIN judged j ON j.r = v.r WHERE NOT j.base_failed AND j.doc_id IN (SELECT doc_id FROM good)),
+        cutoff(rule, i, c) AS (VALUES {cutoffs}),
+        trial AS (SELECT stratum, rule, i, c, count(*) AS n, count(CASE WHEN value > c THEN 1 END) AS k FROM held JOIN cutoff USING (rule) GROUP BY ALL),
+        below AS (SELECT stratum, rule, i, c, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln{p} + (n - j) * ln(1 - {p}))) AS tail FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM trial WHERE k < n) GROUP BY ALL),
+        chosen AS (SELECT stratum, rule, min(i) AS i FROM below WHERE tail <= {delta / n_tests!r}::DOUBLE GROUP BY stratum, rule),
+        rejected AS (SELECT DISTINCT v.r FROM vals v JOIN chosen h ON h.stratum = v.stratum AND h.rule = v.rule JOIN cutoff x ON x.rule = h.rule AND x.i = h.i WHERE v.value > x.c)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept FROM judged"""

@@ -305,6 +305,26 @@ def brute_statistics(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def test_op5_equals_sql(spark, sql):
+    assert rows_of(run(spark, "op5_quality_rules").toPandas()) == rows_of(sql.execute(llm_queries.oracle_sql()["op5_quality_rules"]).df())
+
+
+def test_certified_cutoffs_equal_sql(spark, tmp_path):
+    import duckdb
+
+    words = [" ".join(["word"] * 5 + [f"w{i % 97}x{k}" for k in range(40)] + ["###"] * (i % 3)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, None, None, 0, 0, 0, "", 0) for i, t in enumerate(words)], DOCS)
+    folder = small_tables(spark, tmp_path, docs, [(i, int(i % 3 == 0), 0) for i in range(6000)])
+    statistics = quality.text_statistics(docs)
+    got = quality.quality_rules(docs, spark.read.parquet(f"{folder}/labels.parquet"), risk=0.05).toPandas()
+    assert quality.choose_cutoffs(statistics, spark.read.parquet(f"{folder}/labels.parquet"), risk=0.05)
+    connection = duckdb.connect()
+    for name in ("documents", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    assert 0 < got.kept.sum() < len(got)
+    assert rows_of(got) == rows_of(connection.execute(quality.oracle(risk=0.05)).df())
+
+
 def test_op5(spark, documents):
     got = run(spark, "op5_quality_rules").toPandas().sort_values("doc_id")
     want = [brute_statistics(t) for t in documents.text]
