@@ -80,11 +80,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa
     """
     column = column.fill_null("").cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2] or pa.py_buffer(b"")
     at = 0
     while at < len(column):
         to = int(np.searchsorted(ends, ends[at] + limit, "right")) - 1
         to = min(max(to, at + 1), len(column))
-        yield at, column.slice(at, to - at)
+        # an array of its own: some string kernels expect the first offset to be 0
+        yield at, pa.LargeStringArray.from_buffers(to - at, pa.py_buffer(ends[at : to + 1] - ends[at]), data.slice(int(ends[at]), int(ends[to] - ends[at])))
         at = to
 
 

@@ -193,9 +193,21 @@ def _best(ask_ids: np.ndarray, asks: np.ndarray, ids: np.ndarray, matrix: np.nda
             else:
                 near = np.arange(len(row))
             near = near[ids[near] != own[i]]
-            exact = np.sqrt(((matrix[near] - part[i]) ** 2).sum(axis=1))
+            exact = np.sqrt(np.cumsum((matrix[near] - part[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
             order = np.lexsort((ids[near], exact))[:k]
             out_a += [int(own[i])] * len(order)
             out_p += ids[near][order].tolist()
             out_s += exact[order].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_p, pa.int64()), pa.array(out_s, pa.float64())], names=["asker", "point", "score"])
+
+
+def oracle(condition: str = "id % 100 = 0", k: int = K, id_name: str = "vec_id", vector: str = "embedding", table: str = "embeddings") -> str:
+    """All pairs of queries and rows as DuckDB SQL: what ``nearest`` finds where its windows span the table."""
+    return f"""
+    WITH v AS (SELECT DISTINCT {id_name} AS id, CAST({vector} AS DOUBLE[]) AS v FROM {table} WHERE {id_name} IS NOT NULL AND {vector} IS NOT NULL),
+        sound AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        common AS (SELECT len(v) AS d FROM sound GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        rows AS (SELECT id, v FROM sound WHERE len(v) = (SELECT d FROM common)),
+        pairs AS (SELECT q.id AS query_id, c.id AS vec_id, min(list_distance(q.v, c.v)) AS score FROM (SELECT * FROM rows WHERE {condition}) q JOIN rows c ON q.id <> c.id GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS nth FROM pairs)
+    SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM ranked WHERE nth <= {k}"""

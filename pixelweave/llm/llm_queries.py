@@ -86,6 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, quality, urls
-
-    return {"op1_url_filters": urls.oracle(), "op5_quality_rules": quality.oracle(), "op7_source_mixing": mixing.oracle()}
+    from . import curves, mixing, quality, urls
+
+    return {
+        "op1_url_filters": urls.oracle(),
+        "op5_quality_rules": quality.oracle(),
+        "op7_source_mixing": mixing.oracle(),
+        "op8_nearest_neighbours": curves.oracle(),  # up to LEAST_ROWS vectors the windows span the table
+    }

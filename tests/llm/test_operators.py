@@ -7,12 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from conftest import DATA, rows_of
 from pyspark.sql import functions as F
 
 from pixelweave.llm import curves, language, llm_queries, mixing, packing, quality, simhash, token_files, tokens, toxicity, urls, warc
+from pixelweave.llm.common import slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, length int, taken string, g int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +68,17 @@ def test_tokenizer_equals_library():
                 assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.library.encode(texts[at + i] or "", add_special_tokens=False).ids
 
 
+def test_slices_of_views():
+    texts = ["Über", None, "", "ÉCOLE x", "A" * 50, "naïve"] * 3
+    column = pa.concat_arrays([pa.array(["xyz"]), pa.array(texts)])
+    for view in (column.slice(1), column.slice(1).cast(pa.large_string()), pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.frombuffer(column.buffers()[1], np.int32)[1:].tobytes()), column.buffers()[2])):
+        for limit in (1, 20, 1000):
+            parts = list(slices(view, limit))
+            assert [x for _, p in parts for x in p.to_pylist()] == [x.as_py() or "" for x in view]
+            assert [x for _, p in parts for x in pc.ascii_lower(p).to_pylist()] == [re.sub("[A-Z]", lambda m: m[0].lower(), x.as_py() or "") for x in view]
+            assert [at for at, _ in parts] == np.cumsum([0, *[len(p) for _, p in parts]])[:-1].tolist()
+
+
 def library_ids(texts, end):
     library = tokens.WordTokenizer.at(tokens.public_path()).library
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
@@ -502,6 +515,10 @@ def test_op8(spark):
         assert own.score.tolist() == pytest.approx([d for _, d in want[q]], abs=1e-12)
 
 
+def test_op8_equals_sql(spark, sql):
+    assert rows_of(run(spark, "op8_nearest_neighbours").toPandas()) == rows_of(sql.execute(llm_queries.oracle_sql()["op8_nearest_neighbours"]).df())
+
+
 def test_recall_of_narrow_windows(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
