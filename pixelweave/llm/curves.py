@@ -208,6 +208,6 @@ def oracle(condition: str = "id % 100 = 0", k: int = K, id_name: str = "vec_id",
         sound AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
         common AS (SELECT len(v) AS d FROM sound GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
         rows AS (SELECT id, v FROM sound WHERE len(v) = (SELECT d FROM common)),
-        pairs AS (SELECT q.id AS query_id, c.id AS vec_id, min(list_distance(q.v, c.v)) AS score FROM (SELECT * FROM rows WHERE {condition}) q JOIN rows c ON q.id <> c.id GROUP BY ALL),
+        pairs AS (SELECT q.id AS query_id, c.id AS vec_id, min(sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))))) AS score FROM (SELECT * FROM rows WHERE {condition}) q JOIN rows c ON q.id <> c.id GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS nth FROM pairs)
     SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM ranked WHERE nth <= {k}"""
