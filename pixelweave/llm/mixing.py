@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, materialise
 
 WEIGHTS, VOLUME, LIMIT = (5, 2, 1), 1.5, 2
-BLOCK_WORDS, SHARD_DOCS, SEED = 16, 50_000, 7
+BLOCK_WORDS, SHARD_DOCS, SEED = 16, 1000, 7
 
 
 def size_of(text: Column) -> Column:
