@@ -1,6 +1,7 @@
 """Operators against brute force, on the small tables and on awkward rows."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -14,7 +15,7 @@ from conftest import DATA, rows_of
 from pyspark.sql import functions as F
 
 from pixelweave.llm import curves, language, llm_queries, mixing, packing, quality, simhash, token_files, tokens, toxicity, urls, warc
-from pixelweave.llm.common import slices
+from pixelweave.llm.common import cleanup, materialise, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, length int, taken string, g int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +80,14 @@ def test_slices_of_views():
             assert [at for at, _ in parts] == np.cumsum([0, *[len(p) for _, p in parts]])[:-1].tolist()
 
 
+def test_tables_lie_below_the_shared_folder_until_cleanup(spark):
+    frame = materialise(spark.range(3).toDF("x"), "three")
+    (path,) = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+    assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir")) and spark.sparkContext.applicationId in path
+    cleanup(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def library_ids(texts, end):
     library = tokens.WordTokenizer.at(tokens.public_path()).library
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
