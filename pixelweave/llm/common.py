@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one step of a vectorised kernel holds at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch between the JVM and Python.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

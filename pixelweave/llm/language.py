@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices, text_bytes, tune_arrow, unit_hash
 
-ORDER, SYMBOLS = 3, 48
+ORDER, SYMBOLS = 3, 40
 #: Texts of each language that the trees are fitted to, on average.
 FIT_DOCS = 4000
 STEP_BYTES = 1 << 20

@@ -25,9 +25,9 @@ from .common import ragged, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words after which a worker starts a new memo; it looks words up in the one before, too.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 #: Bytes of text that are encoded together; more of them share their words.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 _LETTER_THEN_MARK = r"([a-z])([.,!?;:|])"
 
