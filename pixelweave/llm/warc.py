@@ -109,7 +109,6 @@ def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|title|head|body|html|dl|dt|dd|form|option)\b[^>]*)>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -117,13 +116,15 @@ _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 def plain_text(page: str) -> str:
     """Visible text: a line per block element, white space collapsed."""
     text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
     """The metadata and conversion records of a response record."""
     head, _, payload = block.partition(b"\r\n\r\n")
-    if sha1(block) != headers.get("WARC-Block-Digest", sha1(block)) or sha1(payload) != headers.get("WARC-Payload-Digest", sha1(payload)):
+    payload_digest = sha1(payload)
+    if headers.get("WARC-Payload-Digest", payload_digest) != payload_digest or "WARC-Block-Digest" in headers and headers["WARC-Block-Digest"] != sha1(block):
         raise ValueError(f"digest mismatch in {headers.get('WARC-Record-ID')}")
     status, *fields = head.decode("latin-1").split("\r\n")
     page = payload.decode("utf-8", "replace")
@@ -138,7 +139,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
     linked = [("WARC-Refers-To", headers["WARC-Record-ID"]), *((k, headers[k]) for k in ("WARC-Target-URI", "WARC-Date", "X-Source-Key") if k in headers)]
     meta = record("metadata", [*linked, ("Content-Type", "application/json")], json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))[1]
     text = plain_text(page).encode("utf-8", "replace")
-    return meta, record("conversion", [*linked, ("WARC-Source-Payload-Digest", sha1(payload)), ("Content-Type", "text/plain; charset=utf-8")], text)[1]
+    return meta, record("conversion", [*linked, ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", "text/plain; charset=utf-8")], text)[1]
 
 
 def member(data: bytes) -> bytes:
