@@ -11,6 +11,15 @@ Together the rules then reject at most ``risk`` of a stratum's good documents
 with probability 1 - ``delta``. Of the cutoffs that pass, the sharpest is used;
 if none passes, the rule rejects nothing in that stratum.
 
+A stratum with too few good documents for any cutoff to pass, even without a
+false rejection, leaves its part of the confidence unspent: ``delta`` divided by
+the number of strata. It spends that on one fixed sequence instead, in which all
+rules step together from their mildest cutoffs to their sharpest: a step holds
+if the bound on the good documents that any rule rejects is at most ``risk``,
+and the last step before the first that fails is used. Which of the two tests a
+stratum gets depends on its number of good documents only, so the joint
+guarantee stays.
+
 Defined cases: a null, empty or blank text has no words and fails the base
 rules. Labels that are null are ignored, a document labelled more than once
 counts as good only if all its labels say so, and without labels only the base
@@ -43,6 +52,9 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "short_words": ("-word_chars / n_words", [round(-4.5 + 0.15 * k, 2) for k in range(24)]),
 }
 
+#: In counts per rule: the furthest place of a document by any rule.
+ANY_RULE = "any"
+
 #: Strata: bands of the number of words.
 BANDS = (100, 300, 1000)
 
@@ -164,25 +176,34 @@ def certified(n: int, k: int, risk: float, delta: float) -> bool:
 def choose_cutoffs(statistics: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
     """(stratum, rule) to the sharpest cutoff whose false rejections are certified.
 
-    Only a histogram of cutoff places per stratum and rule reaches the driver.
+    A small stratum steps through all rules' cutoffs together. Only a histogram
+    of cutoff places per stratum and rule reaches the driver.
     """
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = statistics.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
-    places = F.array(*[F.struct(F.lit(name).alias("rule"), sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cutoffs), F.lit(0)).alias("past")) for name, (value, cutoffs) in RULES.items()])
+    past_of = {name: sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cutoffs), F.lit(0)) for name, (value, cutoffs) in RULES.items()}
+    past_of[ANY_RULE] = F.greatest(*past_of.values())
+    places = F.array(*[F.struct(F.lit(name).alias("rule"), past.alias("past")) for name, past in past_of.items()])
     counted = held.select("stratum", F.explode(places).alias("r")).groupBy("stratum", "r.rule", "r.past").count().collect()
     n_tests = (len(BANDS) + 1) * sum(len(c) for _, c in RULES.values())
     chosen = {}
     for s in range(len(BANDS) + 1):
-        for rule, (_, cutoffs) in RULES.items():
-            past = [0] * (len(cutoffs) + 1)
-            for row in counted:
-                if (row["stratum"], row["rule"]) == (s, rule):
-                    past[row["past"]] = row["count"]
-            n = sum(past)
-            for i, cutoff in enumerate(cutoffs):  # past cutoff i: those that passed more than i of the rising cutoffs
-                if certified(n, sum(past[i + 1 :]), risk / len(RULES), delta / n_tests):
-                    chosen[s, rule] = cutoff
-                    break
+        places_of = {rule: [0] * (max(len(c) for _, c in RULES.values()) + 1) for rule in past_of}
+        for row in counted:
+            if row["stratum"] == s:
+                places_of[row["rule"]][row["past"]] = row["count"]
+        n = sum(places_of[ANY_RULE])
+        if certified(n, 0, risk / len(RULES), delta / n_tests):
+            for rule, (_, cutoffs) in RULES.items():
+                for i, cutoff in enumerate(cutoffs):  # past cutoff i: those that passed more than i of the rising cutoffs
+                    if certified(n, sum(places_of[rule][i + 1 :]), risk / len(RULES), delta / n_tests):
+                        chosen[s, rule] = cutoff
+                        break
+            continue
+        for i in reversed(range(min(len(c) for _, c in RULES.values()))):
+            if not certified(n, sum(places_of[ANY_RULE][i + 1 :]), risk, delta / (len(BANDS) + 1)):
+                break
+            chosen |= {(s, rule): cutoffs[i] for rule, (_, cutoffs) in RULES.items()}
     return chosen
 
 
@@ -201,7 +222,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 
 
 def oracle(window: int = WINDOW, risk: float = RISK, delta: float = DELTA) -> str:
-    """``quality_rules`` of the tables documents and labels as DuckDB SQL."""
+    """``quality_rules`` of the tables documents and labels as DuckDB SQL, without the sequence of small strata.
+
+    Equal on tables where each stratum has enough good documents for a cutoff
+    to pass alone, or too few for the sequence.
+    """
     space = r"\x20\x09-\x0D"
     symbols = "[^#*$%&|<>]"
     band = " + ".join(f"(n_words >= {b})::INT" for b in BANDS)

@@ -393,6 +393,33 @@ def test_cutoffs_equal_brute_force(spark):
     assert not judged.kept[judged.doc_id % 3 == 0].any() and judged.kept[judged.doc_id % 3 != 0].mean() > 0.98
 
 
+def test_small_strata_step_through_all_cutoffs(spark):
+    """1,200, 500 and 400 good documents: too few for a cutoff alone, the last also for the sequence."""
+    rng = np.random.default_rng(9)
+    rows, good = [], []
+    for words, n in ((200, 1200), (400, 500), (2000, 400)):
+        for i in range(n + 100):
+            symbols = int(words * 0.5) if i >= n else words // 10 if i < 3 else 0
+            rows.append((len(rows), words, int(words * rng.uniform(5.2, 5.9)), symbols, 0, 0))
+            good.append(i < n)
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    chosen = quality.choose_cutoffs(stats, labels)
+    value = {"symbols": lambda r: r[3] / r[1], "dup_lines": lambda r: 0.0, "repeats": lambda r: 0.0, "long_words": lambda r: r[2] / r[1], "short_words": lambda r: -r[2] / r[1]}
+    for s, words in enumerate((None, 200, 400, 2000)):
+        own, last = [r for r, g in zip(rows, good, strict=True) if g and r[1] == words], None
+        for i in range(23, -1, -1):
+            k = sum(any(value[rule](r) > c[i] for rule, (_, c) in quality.RULES.items()) for r in own)
+            if not own or binomial(len(own), k, quality.RISK) > quality.DELTA / 4:
+                break
+            last = i
+        assert {rule: c for (at, rule), c in chosen.items() if at == s} == ({} if last is None else {rule: c[last] for rule, (_, c) in quality.RULES.items()})
+    assert {s for s, _ in chosen} == {1, 2}
+    judged = quality.judge(stats, chosen).toPandas()
+    bad = ~np.array(good)[judged.doc_id]
+    assert not judged.kept[bad & (judged.n_words < 1000)].any() and judged.kept[~bad].mean() > 0.99
+
+
 # mixing
 
 
