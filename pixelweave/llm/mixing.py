@@ -5,16 +5,21 @@ share ``volume`` times all words; no target passes ``limit`` times its source,
 and what that frees is shared again by weight (a water level, found in closed
 form from running sums over the sources).
 
-Seats: documents are dealt to shards by a seeded hash, and each shard seats
-blocks of equal words: its share of each source's target competes with the
-quotients target / 1, target / 3, target / 5, ... and the highest get a block.
-Only seats that rounding can decide are ranked; the seats that a source is sure
-of are counted, so a shard ranks a few rows per source however many blocks.
+Seats: the table seats blocks of equal words once: each source's target
+competes with the quotients target / 1, target / 3, target / 5, ... and the
+highest get a block. Only seats that rounding can decide are ranked; the seats
+that a source is sure of are counted, so a few rows per source are ranked
+however many blocks.
 
-Selection: a source's documents in a shard lie in a seeded order as a line of
+Selection: a source's documents lie in the order of a seeded hash as a line of
 words, cut into blocks. Whole passes over the line come first, and the blocks
 left are taken in a row from a seeded block on, around the end.
 
+Shards are ranges of the hash and only split the work: a shard sums its stretch
+of each line, and the stretches before it give the place where its own begins.
+So the result is the same for any number of shards, and nothing is rounded in a
+shard.
+
 Defined cases: a null or empty text has size 0 and takes nothing. Null doc_ids
 are dealt by their text. Repeated rows are placed each; equal rows are
 interchangeable, so a rerun gives the same rows. An empty table gives an empty
@@ -68,7 +73,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, volume:
 
 
 def shard_quotas(lines: DataFrame, block: int = BLOCK_WORDS, limit: float = LIMIT) -> DataFrame:
-    """Words that each shard takes of each source: ``lines`` has shard, place, line (words) and share (target)."""
+    """Words taken of each source in groups seated alone: ``lines`` has shard (the group), place, line (words) and share (target)."""
     shard = W.partitionBy("shard")
     totals = (
         lines.withColumn("all_share", F.sum("share").over(shard.orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))  # in one order, so sums round alike
@@ -94,15 +99,19 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weigh
     shards = max(1, -(-(targets.agg(F.sum("n_docs")).first()[0] or 0) // shard_docs))
     name = F.coalesce(F.col("doc_id").cast("string"), F.col("nameless"), F.lit(""))
     dealt = sized.withColumn("deal", F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary")))
-    dealt = dealt.withColumn("shard", F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") % shards)
-    placed = dealt.join(targets.select(F.col("source").alias("of"), "place", "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
-    lines = placed.groupBy("shard", "place").agg(F.sum("size").alias("line"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    lines = lines.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("line") / F.col("source_size")).otherwise(F.lit(0.0)))
-    quotas = materialise(shard_quotas(lines, block, limit), "quotas")
-    quotas = quotas.withColumn("first", F.when(F.col("line") > 0, _draw(F.lit(str(seed)), F.col("shard").cast("string"), F.col("place").cast("string")) % F.ceil(F.col("line") / block) * block).otherwise(F.lit(0)))
+    dealt = dealt.withColumn("shard", F.shiftright(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") * shards, 32))
+    share = F.when(F.col("source_size") > 0, F.col("target") * F.col("source_size") / F.col("source_size")).otherwise(F.lit(0.0))  # rounds as the SQL does
+    seated = materialise(shard_quotas(targets.select(F.lit(0).alias("shard"), "place", F.col("source_size").alias("line"), share.alias("share")), block, limit), "quotas")
+    drawn = F.when(F.col("line") > 0, _draw(F.lit(str(seed)), F.lit("0"), F.col("place").cast("string")) % F.ceil(F.col("line") / block) * block).otherwise(F.lit(0))
+    quotas = targets.join(seated.select("place", "line", "quota", drawn.alias("first")), "place")
+    placed = dealt.join(quotas.select(F.col("source").alias("of"), "place", "source_size", "target", "line", "quota", "first"), F.col("source").eqNullSafe(F.col("of")))
+    before = W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
+    stretches = placed.groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
+    starts = materialise(stretches.select(F.col("shard").alias("s_shard"), F.col("place").alias("s_place"), F.coalesce(F.sum("stretch").over(before), F.lit(0)).alias("start")), "starts")
     order = W.partitionBy("shard", "place").orderBy("deal", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    laid = placed.withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
-    met = laid.join(quotas.select(F.col("shard").alias("q_shard"), F.col("place").alias("q_place"), "line", "quota", "first"), (F.col("shard") == F.col("q_shard")) & (F.col("place") == F.col("q_place")))
+    laid = placed.withColumn("upto", F.sum("size").over(order))
+    met = laid.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("place") == F.col("s_place")))
+    met = met.withColumn("end", F.col("start") + F.col("upto")).withColumn("begin", F.col("end") - F.col("size"))
     passes = F.when(F.col("line") > 0, F.floor(F.col("quota") / F.col("line"))).otherwise(F.lit(0)).cast("long")
     met = met.withColumn("passes", passes).withColumn("last", F.col("first") + F.col("quota") - F.col("passes") * F.col("line"))
 
@@ -114,7 +123,10 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weigh
 
 
 def oracle(weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: int = LIMIT, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> str:
-    """``mix`` of the table documents as DuckDB SQL."""
+    """``mix`` of the table documents as DuckDB SQL.
+
+    Each shard is seated alone here, so it equals ``mix`` where ``shard_docs`` makes one shard of the table.
+    """
     turns = " ".join(f"WHEN {k} THEN {float(w)}" for k, w in enumerate(weights))
     drawn = "CAST('0x' || substr({0}, 1, 8) AS BIGINT)"
     share = "greatest(0, least(l.{1}, {3}) - greatest(l.{0}, {2}))"

@@ -484,6 +484,25 @@ def test_mixing_shards(spark):
     assert (got.taken <= 2 * got["size"]).all()
 
 
+def test_mixing_does_not_depend_on_shards(spark, sql):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = rows_of(sql.execute(mixing.oracle(shard_docs=10**9)).df())
+    for shard_docs in (7, 40, 10**9):
+        assert rows_of(mixing.mix(docs, shard_docs=shard_docs).toPandas()) == want
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_rare_source_of_short_documents_reaches_its_target(spark, words):
+    """About one such document in a shard, whose share there is under half a block."""
+    docs = spark.range(3060).selectExpr("id AS doc_id", f"CASE WHEN id % 51 = 0 THEN trim(repeat('w ', {words})) ELSE trim(repeat('w ', 200)) END AS text", "CASE WHEN id % 51 = 0 THEN 'rare' ELSE 'common' END AS source")
+    got = mixing.mix(docs, keep=["source"], shard_docs=50).toPandas()
+    assert len(got) == 3060 and (got.taken <= 2 * got["size"]).all()
+    rare = got[got.source == "rare"]
+    assert rare.target.iloc[0] == 120 * words
+    for _, own in got.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= mixing.BLOCK_WORDS
+
+
 # urls
 
 
