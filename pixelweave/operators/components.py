@@ -1,96 +1,55 @@
 """Connected components of pixels, per image.
 
 Edges never leave an image, and most stay inside a tile of it. Each (image,
-tile) is solved by a vectorised union-find; for images of more than one tile
-the few edges between tiles, carried to the tiles' roots, are solved by the
+tile) is solved by a vectorised union-find over the runs of its rows; for
+images of more than one tile the few links between tiles are solved by the
 distributed star algorithm, so a tile is all that a task must hold.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.color import place
+from ..functions.color import CHANNELS
 from ..plans.components import connected_components
-from .neighbours import adjacency
-
-TILE = 1024
-NODE_BITS = 32
-
-
-def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0 to n - 1 with edges a-b, the smallest node each is connected to."""
-    label = np.arange(n)
-    while True:
-        x, y = label[a], label[b]
-        high, low = np.maximum(x, y), np.minimum(x, y)
-        open_ = high != low
-        if not open_.any():
-            return label
-        a, b = a[open_], b[open_]
-        np.minimum.at(label, high[open_], low[open_])
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes, places = np.unique(pdf[["a", "b"]].to_numpy().reshape(-1), return_inverse=True)
-    pairs = places.reshape(-1, 2)
-    return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "g": nodes, "root": nodes[smallest_reachable(len(nodes), pairs[:, 0], pairs[:, 1])]})
-
-
-def _tile(g: Column, width: int, tile: int) -> Column:
-    across = -(-width // tile)
-    return F.floor(F.floor(g / width) / tile) * across + F.floor((g % width) / tile)
-
-
-def _workspace(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder all executors share."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/pixelweave-checkpoints"
-    path = f"{base.rstrip('/')}/pixelweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.workspace import materialise
+from .tiles import TILE, component_roots, fits, own_tile, smallest_reachable
+
+ROOTS = "image_id long, g long, root long"
+
+
+def _solve(key: tuple, rows: pa.Table) -> pa.Table:
+    ends = np.concatenate([rows.column(c).to_numpy() for c in ("a", "b")])
+    nodes, places = np.unique(ends, return_inverse=True)
+    root = nodes[smallest_reachable(len(nodes), *places.reshape(2, -1))]
+    return pa.table({"image_id": pa.array(np.full(len(nodes), key[0].as_py(), np.int64)), "g": nodes, "root": root})
 
 
 def roots(edges: DataFrame, width: int, height: int, tile: int = TILE) -> DataFrame:
-    """(image_id, g, root) of every pixel that has an edge (image_id, a, b)."""
-    if width <= tile and height <= tile:
-        return edges.select("image_id", "a", "b").groupBy("image_id").applyInPandas(_solve, "image_id long, g long, root long")
-    tiled = edges.withColumn("tile", _tile(F.col("a"), width, tile)).withColumn("other", _tile(F.col("b"), width, tile))
-    inside = tiled.where("tile = other").select("image_id", "tile", "a", "b").groupBy("image_id", "tile").applyInPandas(_solve, "image_id long, g long, root long")
-    solved = _workspace(inside, "tiles")
-    across = tiled.where("tile != other").select("image_id", "a", "b")
+    """(image_id, g, root) of every node that has an edge (image_id, a, b); nodes are places in the raster."""
+    edges = edges.select("image_id", "a", "b")
+    if fits(width, height, tile):
+        return edges.groupBy("image_id").applyInArrow(_solve, ROOTS)
+    here, there = (F.struct(*own_tile(F.col(end), width, tile)) for end in ("a", "b"))
+    tiled = edges.withColumn("tile", here).withColumn("inside", here == there)
+    inside = tiled.where("inside").groupBy("image_id", "tile").applyInArrow(_solve, ROOTS)
+    solved = materialise(inside, "tiles")
+    across = tiled.where("NOT inside").select("image_id", "a", "b")
     for end in ("a", "b"):
         near = solved.select("image_id", F.col("g").alias(end), F.col("root").alias(f"{end}_root"))
         across = across.join(near, ["image_id", end], "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
-    node = lambda c: F.col("image_id") * F.lit(1 << NODE_BITS) + F.col(c)
-    joined = connected_components(across.select(node("a").alias("a"), node("b").alias("b")), "a", "b", _workspace)
-    joined = joined.select(F.floor(F.col("node") / F.lit(1 << NODE_BITS)).alias("image_id"), (F.col("node") % (1 << NODE_BITS)).alias("root"), (F.col("component") % (1 << NODE_BITS)).alias("whole"))
+    node = lambda c: F.struct("image_id", F.col(c).alias("g")).alias(c)
+    joined = connected_components(across.select(node("a"), node("b")), "a", "b", materialise)
+    joined = joined.select(F.col("node.image_id").alias("image_id"), F.col("node.g").alias("root"), F.col("component.g").alias("whole"))
     lifted = solved.join(joined, ["image_id", "root"], "left").select("image_id", "g", F.coalesce("whole", "root").alias("root"))
     alone = joined.select("image_id", F.col("root").alias("g"), F.col("whole").alias("root")).join(solved, ["image_id", "g"], "left_anti")
     return lifted.unionByName(alone)
 
 
-def with_roots(pixels: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """(image_id, g, root) of all pixels; one without an edge is its own root."""
-    own = pixels.select("image_id", place(F.col("x"), F.col("y"), width).alias("g"))
-    return own.join(found, ["image_id", "g"], "left").select("image_id", "g", F.coalesce("root", "g").alias("root"))
-
-
 def dense(rooted: DataFrame) -> DataFrame:
     """(image_id, g, label): labels 0, 1, ... in order of the components' first pixels.
 
@@ -107,20 +66,22 @@ def compact(labels: DataFrame) -> DataFrame:
     return labels.join(ranks, ["image_id", "label"], "left").select("image_id", "g", F.coalesce("dense", F.lit(-1)).cast("long").alias("label"))
 
 
+def _numbered(pixels: DataFrame, width: int, height: int, near, colours: tuple[str, ...], seeds: DataFrame | None, tile: int) -> DataFrame:
+    found = component_roots(pixels, width, height, near, colours, seeds, tile, ranked=True)
+    return found.withColumnRenamed("root", "label") if fits(width, height, tile) else dense(found)
+
+
 def label_equal(pixels: DataFrame, width: int, height: int, tile: int = TILE) -> DataFrame:
     """Components of equal colour."""
-    return dense(with_roots(pixels, roots(adjacency(pixels, width).where("d = 0"), width, height, tile), width))
+    return _numbered(pixels, width, height, lambda d: d == 0, CHANNELS, None, tile)
 
 
-def label_range(pixels: DataFrame, width: int, height: int, colour_range: float, seeds: DataFrame | None = None, colours: tuple[str, ...] = ("c0", "c1", "c2"), tile: int = TILE) -> DataFrame:
+def label_range(pixels: DataFrame, width: int, height: int, colour_range: float, seeds: DataFrame | None = None, colours: tuple[str, ...] = CHANNELS, tile: int = TILE) -> DataFrame:
     """Components of neighbours closer than ``colour_range`` (squared, exclusive).
 
     ``seeds`` (image_id, g, label) ties each pixel to the pixel its label names.
     """
-    edges = adjacency(pixels, width, colours).where(F.col("d") < colour_range).select("image_id", "a", "b")
-    if seeds is not None:
-        edges = edges.unionByName(seeds.where("g != label").select("image_id", F.col("g").alias("a"), F.col("label").alias("b")))
-    return dense(with_roots(pixels, roots(edges, width, height, tile), width))
+    return _numbered(pixels, width, height, lambda d: d < colour_range, colours, seeds, tile)
 
 
 def region_counts(labels: DataFrame) -> DataFrame:
@@ -129,3 +90,6 @@ def region_counts(labels: DataFrame) -> DataFrame:
 
 def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id", "label").agg(F.count("*").alias("n"))
+
+
+__all__ = ["TILE", "compact", "dense", "label_equal", "label_range", "region_counts", "region_sizes", "roots", "smallest_reachable"]

@@ -8,15 +8,15 @@ makes a result independent of the order of rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbours import gather
 
 MAX_STEPS, STOP_SHIFT, FIRST_SHIFT, LARGEST = 5, 3, 5, 16
-#: Side of a tile, without its halo.
-TILE = 64
+#: Sides, without halo, of a tile and of the blocks it is worked through in.
+TILE, BLOCK = 128, 64
 
 _SUMS = "aggregate(near, named_struct('n', 0L, 's0', 0L, 's1', 0L, 's2', 0L, 'sx', 0L, 'sy', 0L), (a, p) -> IF((p.c0 * 100D / 255D - at.l) * (p.c0 * 100D / 255D - at.l) + (p.c1 - 128D - at.u) * (p.c1 - 128D - at.u) + (p.c2 - 128D - at.v) * (p.c2 - 128D - at.v) <= {limit}, named_struct('n', a.n + 1L, 's0', a.s0 + p.c0, 's1', a.s1 + p.c1, 's2', a.s2 + p.c2, 'sx', a.sx + p.x, 'sy', a.sy + p.y), a))"
 
@@ -85,53 +85,70 @@ def _window_sums(colour: np.ndarray, coded: np.ndarray, here: np.ndarray, corner
     return n.reshape(-1), sums.reshape(5, -1)
 
 
-def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int):
-    """All pixels of a tile at once: a pass over the window's offsets for each step, on those that still move."""
+def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int, block: int):
+    """All pixels of a tile, a block that caches hold at a time."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, top, side = int(key[1]) * tile - radius, int(key[2]) * tile - radius, tile + 2 * radius
-        x, y = pdf["x"].to_numpy() - left, pdf["y"].to_numpy() - top
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        left, top, side = key[1].as_py() * tile - radius, key[2].as_py() * tile - radius, tile + 2 * radius
+        x, y = (rows.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        at = (y - top) * side + (x - left)
         here, colour = np.zeros((side, side), bool), np.zeros((3, side, side))
-        here[y, x] = True
+        here.reshape(-1)[at] = True
         for k in range(3):
-            colour[k, y, x] = pdf[f"c{k}"].to_numpy()
-        coded = np.stack([colour[0] * 100.0 / 255.0, colour[1] - 128.0, colour[2] - 128.0])
-        y, x = np.nonzero(here[radius : radius + tile, radius : radius + tile])
-        y, x = y + radius, x + radius
-        at, px, py = coded[:, y, x], x + left, y + top
-        shift, steps = np.full(len(x), float(FIRST_SHIFT)), np.zeros(len(x), np.int32)
-        for _ in range(max_steps):
-            go = np.flatnonzero(shift > STOP_SHIFT)
-            if not len(go):
-                break
-            pick = np.arange(len(x)) if len(go) > len(x) // 3 else go  # views of all cost less than picking many
-            n, sums = _window_sums(colour, coded, here, (left, top), radius, colour_range, at[:, pick], y[pick], x[pick])
-            if len(pick) > len(go):
-                n, sums = n[go], sums[:, go]
-            go, sums, n = go[n > 0], sums[:, n > 0], n[n > 0]
-            now = np.stack([sums[0] * 100.0 / 255.0 / n, sums[1] / n - 128.0, sums[2] / n - 128.0])
-            to_x, to_y = np.floor(sums[3] / n).astype(np.int64) + 1, np.floor(sums[4] / n).astype(np.int64) + 1
-            gap = now - at[:, go]
-            shift[go] = (to_x - px[go]) ** 2 + (to_y - py[go]) ** 2 + gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
-            at[:, go], px[go], py[go] = now, to_x, to_y
-            steps[go] += 1
-        return pd.DataFrame({"image_id": np.full(len(x), key[0], np.int64), "x": (x + left).astype(np.int32), "y": (y + top).astype(np.int32), "f0": at[0] * 255.0 / 100.0, "f1": at[1] + 128.0, "f2": at[2] + 128.0, "iters": steps})
+            colour[k].reshape(-1)[at] = rows.column(f"c{k}").to_numpy()
+        found = [
+            _block_filter(here[y0 : y0 + block + 2 * radius, x0 : x0 + block + 2 * radius], colour[:, y0 : y0 + block + 2 * radius, x0 : x0 + block + 2 * radius], (left + x0, top + y0), radius, colour_range, max_steps)
+            for y0 in range(0, tile, block)
+            for x0 in range(0, tile, block)
+            if here[y0 + radius : y0 + block + radius, x0 + radius : x0 + block + radius].any()
+        ]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, t) for t in ("i4", "i4", "f8", "f8", "f8", "i4")]
+        return pa.table({"image_id": np.full(len(columns[0]), key[0].as_py(), np.int64), **dict(zip(("x", "y", "f0", "f1", "f2", "iters"), columns, strict=True))})
 
     return run
 
 
+def _block_filter(here: np.ndarray, colour: np.ndarray, corner: tuple[int, int], radius: int, colour_range: float, max_steps: int) -> tuple[np.ndarray, ...]:
+    """(x, y, f0, f1, f2, iters) of a block's pixels: a pass over the window's offsets for each step, on those that still move."""
+    left, top = corner
+    high, wide = (n - 2 * radius for n in here.shape)
+    coded = np.stack([colour[0] * 100.0 / 255.0, colour[1] - 128.0, colour[2] - 128.0])
+    y, x = np.nonzero(here[radius : radius + high, radius : radius + wide])
+    y, x = y + radius, x + radius
+    at, px, py = coded[:, y, x], x + left, y + top
+    shift, steps = np.full(len(x), float(FIRST_SHIFT)), np.zeros(len(x), np.int32)
+    for _ in range(max_steps):
+        go = np.flatnonzero(shift > STOP_SHIFT)
+        if not len(go):
+            break
+        pick = np.arange(len(x)) if len(go) > len(x) // 3 else go  # views of all cost less than picking many
+        n, sums = _window_sums(colour, coded, here, (left, top), radius, colour_range, at[:, pick], y[pick], x[pick])
+        if len(pick) > len(go):
+            n, sums = n[go], sums[:, go]
+        go, sums, n = go[n > 0], sums[:, n > 0], n[n > 0]
+        now = np.stack([sums[0] * 100.0 / 255.0 / n, sums[1] / n - 128.0, sums[2] / n - 128.0])
+        to_x, to_y = np.floor(sums[3] / n).astype(np.int64) + 1, np.floor(sums[4] / n).astype(np.int64) + 1
+        gap = now - at[:, go]
+        shift[go] = (to_x - px[go]) ** 2 + (to_y - py[go]) ** 2 + gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+        at[:, go], px[go], py[go] = now, to_x, to_y
+        steps[go] += 1
+    return (x + left).astype(np.int32), (y + top).astype(np.int32), at[0] * 255.0 / 100.0, at[1] + 128.0, at[2] + 128.0, steps
+
+
 def mean_shift(pixels: DataFrame, radius: int, colour_range: float, max_steps: int = MAX_STEPS, engine: str | None = None, tile: int = TILE) -> DataFrame:
     """(image_id, x, y, f0, f1, f2, iters) of every pixel.
 
     ``engine`` "windows" stays in the JVM, holds a window per pixel and needs
     full images; "tiles" works on tiles with a halo, whose memory hardly grows
     with the radius, and takes images with gaps. Both give the same numbers; by
-    default tiles run, being faster.
+    default tiles run, being faster. A radius outside 1 to 16 runs as 16.
     """
+    radius = clamped(radius)
     if (engine or "tiles") == "tiles":
-        tile = max(tile, 2 * radius)
+        block = max(min(BLOCK, tile), 2 * radius)
+        tile = -(-tile // block) * block
         spread = with_halo(pixels.select("image_id", "x", "y", "c0", "c1", "c2"), radius, tile)
-        return spread.groupBy("image_id", "tile_x", "tile_y").applyInPandas(_tile_filter(radius, float(colour_range), max_steps, tile), "image_id long, x int, y int, f0 double, f1 double, f2 double, iters int")
+        return spread.groupBy("image_id", "tile_x", "tile_y").applyInArrow(_tile_filter(radius, float(colour_range), max_steps, tile, block), "image_id long, x int, y int, f0 double, f1 double, f2 double, iters int")
     state = start(pixels, radius)
     for _ in range(max_steps):
         state = step(state, colour_range)

@@ -47,20 +47,3 @@ def adjacency(pixels: DataFrame, width: int, colours: tuple[str, ...] = CHANNELS
     sides = both.select("image_id", "own", F.explode(F.array("l", "u")).alias("other")).where("other IS NOT NULL")
     d = squared_distance([F.col(f"own.{c}") for c in colours], [F.col(f"other.{c}") for c in colours])
     return sides.select("image_id", F.col("own.g").alias("a"), F.col("other.g").alias("b"), d.alias("d"))
-
-
-def flood_candidates(pixels: DataFrame, width: int, radius: int) -> DataFrame:
-    """Adds ``g`` and ``candidates``: (d, step, side, p) of the pixels left and up.
-
-    Ordered as they are visited: farthest first, up before left, so the least
-    candidate is the first of the closest colour.
-    """
-    marked = pixels.withColumn("g", place(F.col("x"), F.col("y"), width)).withColumn("own", F.struct("g", *CHANNELS))
-    found = []
-    for r in range(-radius, 0):
-        for side, left in ((0, False), (1, True)):
-            name = f"n{-r}_{side}"
-            marked = marked.withColumn(name, _beside("own", -r, left))
-            d = squared_distance([F.col(f"{name}.{c}") for c in CHANNELS], [F.col(c) for c in CHANNELS])
-            found.append((name, F.when(F.col(name).isNotNull(), F.struct(d.cast("double").alias("d"), F.lit(r).alias("step"), F.lit(side).alias("side"), F.col(f"{name}.g").alias("p")))))
-    return marked.withColumn("candidates", F.array_compact(F.array(*[c for _, c in found]))).drop("own", *[n for n, _ in found])

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, place
-from .components import TILE, _workspace, compact, roots
+from ..plans.workspace import materialise
+from .components import TILE, compact, roots
 from .neighbours import adjacency
 
 MERGE_DISTANCE, MERGE_ROUNDS = 6.5, 5
@@ -62,10 +63,10 @@ def merge_regions(pixels: DataFrame, width: int, height: int, labels: DataFrame
     An image that has settled is not changed by further rounds, so all images
     run together until the last settles.
     """
-    labels = _workspace(labels if labels is not None else one_per_pixel(pixels, width), "labels")
+    labels = materialise(labels if labels is not None else one_per_pixel(pixels, width), "labels")
     count = None
     for _ in range(rounds):
-        labels = _workspace(merge_round(pixels, labels, width, height, distance, tile), "labels")
+        labels = materialise(merge_round(pixels, labels, width, height, distance, tile), "labels")
         now = labels.select("image_id", "label").distinct().count()
         if now == count:
             break

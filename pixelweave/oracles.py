@@ -34,11 +34,12 @@ def labels(name: str, nodes: str, pairs: str) -> str:
     {name} AS (SELECT image_id, g, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS label FROM {name}_root)"""
 
 
-def parents(name: str, source: str, radius: int, limit: str) -> str:
+def parents(name: str, source: str, radius: int, limit: str, device: bool = False) -> str:
     d = " + ".join(f"(q.c{k} - p.c{k}) * (q.c{k} - p.c{k})" for k in range(3))
+    up, left, order = ("AND q.y > 0", "AND q.x > 0", "d, p") if device else ("", "", "d, r, side")
     return f"""{name}_c AS (SELECT p.image_id, p.g, q.g AS p, CAST({d} AS DOUBLE) AS d, CASE WHEN q.x = p.x THEN q.y - p.y ELSE q.x - p.x END AS r, CASE WHEN q.x = p.x THEN 0 ELSE 1 END AS side
-        FROM {source} p JOIN {source} q ON p.image_id = q.image_id AND ((q.x = p.x AND q.y BETWEEN p.y - {radius} AND p.y - 1) OR (q.y = p.y AND q.x BETWEEN p.x - {radius} AND p.x - 1))),
-    {name}_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, g ORDER BY d, r, side) AS nth FROM {name}_c) WHERE nth = 1),
+        FROM {source} p JOIN {source} q ON p.image_id = q.image_id AND ((q.x = p.x AND q.y BETWEEN p.y - {radius} AND p.y - 1 {up}) OR (q.y = p.y AND q.x BETWEEN p.x - {radius} AND p.x - 1 {left}))),
+    {name}_b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, g ORDER BY {order}) AS nth FROM {name}_c) WHERE nth = 1),
     {name} AS (SELECT s.image_id, s.g, CASE WHEN b.d < {limit}::DOUBLE THEN b.p ELSE s.g END AS p FROM {source} s LEFT JOIN {name}_b b ON s.image_id = b.image_id AND s.g = b.g)"""
 
 
@@ -121,8 +122,11 @@ def oracle_sql() -> dict[str, str]:
         "window_gather_stats": q(f"SELECT p.image_id, p.x, p.y, count(*) AS n, sum(q.c0)::BIGINT AS sum_c0, sum(q.c1)::BIGINT AS sum_c1, sum(q.c2)::BIGINT AS sum_c2 FROM ev p {near} GROUP BY p.image_id, p.x, p.y"),
         "mean_shift_step": q("SELECT image_id, x, y, round(l, 6) AS l, round(u, 6) AS u, round(v, 6) AS v, ix AS to_x, iy AS to_y, round(shift, 6) AS shift FROM s1", shifted(1, WINDOW, BALL)),
         "mean_shift_filter": q("SELECT image_id, x, y, round(l * 255::DOUBLE / 100::DOUBLE, 6) AS f0, round(u + 128::DOUBLE, 6) AS f1, round(v + 128::DOUBLE, 6) AS f2, steps AS iters FROM s5", moves),
+        "mean_shift_wide": q("SELECT image_id, x, y, round(l * 255::DOUBLE / 100::DOUBLE, 6) AS f0, round(u + 128::DOUBLE, 6) AS f1, round(v + 128::DOUBLE, 6) AS f2, steps AS iters FROM s5", shifted(5, 13, 100.0)),
         "mean_shift_iterations": q("SELECT steps AS iters, count(*) AS pixels FROM s5 GROUP BY steps", moves),
         "flood_parent": q("SELECT image_id, g, p FROM par", g64, par),
+        "flood_device": q("SELECT image_id, g, p FROM par", g64, parents("par", "px", FLOOD_RADIUS, FLOOD_RANGE, device=True)),
+        "flood_tiled": q("SELECT image_id, g, root * 10 AS label FROM fl", *flooded),
         "flood_labels": q("SELECT image_id, g, root * 10 AS label FROM fl", *flooded),
         "flood_scaled": q("SELECT image_id, g, root AS label FROM fl", grey(16), parents("par", "px", FLOOD_RADIUS, 4.0), roots("fl", "px", "SELECT image_id, g AS a, p AS b FROM par WHERE g <> p")),
         "flood_jump": q("SELECT a.image_id, a.g, b.p AS label FROM par a JOIN par b ON a.image_id = b.image_id AND a.p = b.g", g64, par),
@@ -131,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "cc_exact": q("SELECT image_id, g, label FROM lab", *exact),
         "cc_range": q("SELECT image_id, g, label FROM lab32", *ranged),
         "cc_seeded": q("SELECT image_id, g, label FROM lab", *flooded, e64, labels("lab", "px", "SELECT image_id, a, b FROM e WHERE d < 1 UNION SELECT image_id, g, root FROM fl WHERE g <> root")),
+        "cc_seeded_tiled": q("SELECT image_id, g, label FROM lab", *flooded, e64, labels("lab", "px", "SELECT image_id, a, b FROM e WHERE d < 1 UNION SELECT image_id, g, root FROM fl WHERE g <> root")),
         "cc_tiled": q("SELECT image_id, g, label FROM lab", *exact),
         "region_count": q("SELECT image_id, count(DISTINCT label) AS regions FROM lab GROUP BY image_id", *exact),
         "region_sizes": q("SELECT image_id, label, count(*) AS n FROM lab GROUP BY image_id, label", *exact),
@@ -148,6 +153,9 @@ def oracle_sql() -> dict[str, str]:
         "segment_pipeline": q(f"SELECT image_id, g, label, {COLOURS} FROM lab", *segmented),
         "segment_seeded": q(f"SELECT image_id, g, label, {COLOURS} FROM lab", *seeded),
         "segment_report": q("SELECT image_id, count(*) AS pixels, count(DISTINCT label) AS regions FROM lab GROUP BY image_id", *segmented),
+        "segment_metrics": q("SELECT count(DISTINCT image_id) AS images, count(*) AS pixels, count(DISTINCT (image_id, label)) AS regions FROM lab", *segmented),
+        "image_roundtrip": q("SELECT image_id, x, y, c0, c1, c2 FROM ev"),
+        "image_components": q("SELECT image_id, g, label FROM lab", *exact),
         "frame_stream": q("SELECT image_id, count(*) AS pixels, count(DISTINCT label) AS regions FROM lab GROUP BY image_id", *seeded),
         "bin_roundtrip": q("SELECT image_id, g AS pos, c1 AS value FROM ev"),
         "filtered_bins": q(f"SELECT image_id, g + k * {AREA} AS pos, round((CASE k WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END)::FLOAT::DOUBLE, 2) AS value FROM sm, (VALUES (0), (1), (2)) t(k)", smooth(WINDOW, BALL)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.color import label_colour
@@ -37,9 +37,12 @@ def region_report(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id").agg(F.count("*").alias("pixels"), F.countDistinct("label").alias("regions"))
 
 
-def metrics(pixels: DataFrame, name: str = "segment") -> DataFrame:
-    """Counts pixels and images as the plan runs, for a listener to log, without a job of its own."""
-    return pixels.observe(name, F.count("*").alias("pixels"), F.approx_count_distinct("image_id").alias("images"))
+def run_metrics(labels: DataFrame) -> dict[str, int]:
+    """Images, pixels and regions that a run counts as it passes, for a log; the labels are computed once."""
+    seen = Observation("segment")
+    report = region_report(labels).observe(seen, F.count("*").alias("images"), F.coalesce(F.sum("pixels"), F.lit(0)).alias("pixels"), F.coalesce(F.sum("regions"), F.lit(0)).alias("regions"))
+    report.write.format("noop").mode("overwrite").save()
+    return seen.get
 
 
-__all__ = ["colour_labels", "filtered_pixels", "metrics", "region_report", "segment"]
+__all__ = ["colour_labels", "filtered_pixels", "region_report", "run_metrics", "segment"]

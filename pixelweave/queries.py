@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.color import coordinates, label_colour, luv_decode, luv_encode, place, same_colour
 from .operators import compare, components, flood, meanshift, neighbours, regions
-from .operators.components import _workspace
 from .oracles import oracle_sql
-from .plans.segment import filtered_pixels, region_report, segment
-from .sources import bins, rasters
+from .plans.segment import filtered_pixels, region_report, run_metrics, segment
+from .plans.workspace import materialise, new_path
+from .sources import bins, images, rasters
 from .streaming.frames import frame_regions
 
 WIDTH, HEIGHT = rasters.FRAME_WIDTH, rasters.FRAME_HEIGHT
@@ -82,12 +81,27 @@ def mean_shift_filter(spark, sf_dir):
     return _rounded(meanshift.mean_shift(_events(spark, sf_dir), WINDOW, BALL), "f0", "f1", "f2")
 
 
+def mean_shift_wide(spark, sf_dir):
+    """The window and ball of the filter's own test script."""
+    return _rounded(meanshift.mean_shift(_events(spark, sf_dir), 13, 100.0), "f0", "f1", "f2")
+
+
 def mean_shift_iterations(spark, sf_dir):
     return meanshift.mean_shift(_events(spark, sf_dir), WINDOW, BALL).groupBy("iters").agg(F.count("*").alias("pixels"))
 
 
 def flood_parent(spark, sf_dir):
-    return flood.parents(_grey(spark, sf_dir), WIDTH, FLOOD_RADIUS, FLOOD_RANGE)
+    return flood.parents(_grey(spark, sf_dir), WIDTH, FLOOD_RADIUS, FLOOD_RANGE, HEIGHT)
+
+
+def flood_device(spark, sf_dir):
+    """Parents by the tie and border rules of the graphics-card programs."""
+    return flood.parents(_grey(spark, sf_dir), WIDTH, FLOOD_RADIUS, FLOOD_RANGE, HEIGHT, device=True)
+
+
+def flood_tiled(spark, sf_dir):
+    """The same labels as flood_labels, found in 8-by-8 tiles and joined across their borders."""
+    return flood.flood(_grey(spark, sf_dir), WIDTH, HEIGHT, FLOOD_RADIUS, FLOOD_RANGE, tile=8)
 
 
 def flood_labels(spark, sf_dir):
@@ -100,7 +114,7 @@ def flood_scaled(spark, sf_dir):
 
 def flood_jump(spark, sf_dir):
     grey = _grey(spark, sf_dir)
-    return flood.apply_links(flood.initial(grey, WIDTH), flood.jump(flood.parents(grey, WIDTH, FLOOD_RADIUS, FLOOD_RANGE)))
+    return flood.apply_links(flood.initial(grey, WIDTH), flood.jump(flood.parents(grey, WIDTH, FLOOD_RADIUS, FLOOD_RANGE, HEIGHT)))
 
 
 def cc_edges(spark, sf_dir):
@@ -133,6 +147,12 @@ def cc_seeded(spark, sf_dir):
     return components.label_range(grey, WIDTH, HEIGHT, 1.0, flood.flood(grey, WIDTH, HEIGHT, FLOOD_RADIUS, FLOOD_RANGE, step=1))
 
 
+def cc_seeded_tiled(spark, sf_dir):
+    """The same components as cc_seeded, in tiles."""
+    grey = _grey(spark, sf_dir)
+    return components.label_range(grey, WIDTH, HEIGHT, 1.0, flood.flood(grey, WIDTH, HEIGHT, FLOOD_RADIUS, FLOOD_RANGE, step=1), tile=16)
+
+
 def cc_tiled(spark, sf_dir):
     """The same components as cc_exact, solved in 8-by-8 tiles and joined across their edges."""
     return components.label_equal(_grey(spark, sf_dir), WIDTH, HEIGHT, tile=8)
@@ -216,34 +236,48 @@ def segment_report(spark, sf_dir):
     return region_report(segment(_events(spark, sf_dir), WIDTH, HEIGHT, WINDOW, BALL, CONNECT))
 
 
+def segment_metrics(spark, sf_dir):
+    seen = run_metrics(segment(_events(spark, sf_dir), WIDTH, HEIGHT, WINDOW, BALL, CONNECT))
+    return spark.createDataFrame([(seen["images"], seen["pixels"], seen["regions"])], "images long, pixels long, regions long")
+
+
+def image_roundtrip(spark, sf_dir):
+    """Frames as PNG files, and their pixels read back."""
+    folder = new_path(spark, "png")
+    materialise(images.write_images(_events(spark, sf_dir), folder), "png-files")
+    return images.read_images(spark, folder)
+
+
+def image_components(spark, sf_dir):
+    """Components of equal colour, straight from image files."""
+    folder = new_path(spark, "png")
+    materialise(images.write_images(_grey(spark, sf_dir), folder), "png-files")
+    return components.label_equal(images.read_images(spark, folder), WIDTH, HEIGHT)
+
+
 def frame_stream(spark, sf_dir):
     return frame_regions(spark, spark.read.parquet(f"{sf_dir}/events.parquet"), rasters.event_raster, WIDTH, HEIGHT, WINDOW, BALL, CONNECT)
 
 
 def bin_roundtrip(spark, sf_dir):
     rows = _events(spark, sf_dir).select("image_id", place(F.col("x"), F.col("y"), WIDTH).alias("pos"), F.col("c1").alias("value"))
-    folder = _bin_folder(spark)
-    _workspace(bins.write_bins(rows, folder, "int"), "bin-files")
+    folder = new_path(spark, "bin")
+    materialise(bins.write_bins(rows, folder, "int"), "bin-files")
     return bins.read_bins(spark, folder, "int")
 
 
-def _bin_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/pixelweave-checkpoints"
-    return f"{base.rstrip('/')}/pixelweave/bin-{uuid.uuid4().hex}"
-
-
 def filtered_bins(spark, sf_dir):
     """Filtered channels as planar float files: all of channel 0, then 1, then 2."""
     area = WIDTH * HEIGHT
     smooth = filtered_pixels(_events(spark, sf_dir), WINDOW, BALL)
     g = place(F.col("x"), F.col("y"), WIDTH)
     planes = smooth.select("image_id", F.explode(F.array(*[F.struct((g + k * area).alias("pos"), F.col(f"c{k}").alias("value")) for k in range(3)])).alias("p")).select("image_id", "p.pos", "p.value")
-    folder = _bin_folder(spark)
-    _workspace(bins.write_bins(planes, folder, "float"), "bin-files")
+    folder = new_path(spark, "bin")
+    materialise(bins.write_bins(planes, folder, "float"), "bin-files")
     return bins.read_bins(spark, folder, "float").select("image_id", "pos", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
-_ALL = (raster_scan, embedding_scan, square_scene, channel_check, luv_code, luv_roundtrip, window_gather, window_gather_stats, mean_shift_step, mean_shift_filter, mean_shift_iterations, flood_parent, flood_labels, flood_scaled, flood_jump, cc_edges, colour_matches, cc_exact, cc_range, cc_seeded, cc_tiled, region_count, region_sizes, region_table, region_adjacency, region_neighbours, region_merge_round, region_merge, dense_relabel, color_labels, float_diff_grades, size_check, label_contingency, label_overlap_grades, segment_pipeline, segment_seeded, segment_report, frame_stream, bin_roundtrip, filtered_bins)
+_ALL = (raster_scan, embedding_scan, square_scene, channel_check, luv_code, luv_roundtrip, window_gather, window_gather_stats, mean_shift_step, mean_shift_filter, mean_shift_wide, mean_shift_iterations, flood_parent, flood_device, flood_tiled, flood_labels, flood_scaled, flood_jump, cc_edges, colour_matches, cc_exact, cc_range, cc_seeded, cc_seeded_tiled, cc_tiled, region_count, region_sizes, region_table, region_adjacency, region_neighbours, region_merge_round, region_merge, dense_relabel, color_labels, float_diff_grades, size_check, label_contingency, label_overlap_grades, segment_pipeline, segment_seeded, segment_report, segment_metrics, image_roundtrip, image_components, frame_stream, bin_roundtrip, filtered_bins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

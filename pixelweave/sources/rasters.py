@@ -72,21 +72,6 @@ def hashed_raster(spark: SparkSession, images: int, width: int, height: int, pat
     return pixels.select("image_id", "x", "y", *[channel(k).alias(f"c{k}") for k in range(3)])
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of JPEG, PNG, BMP or GIF files, by Spark's image source.
-
-    Files that don't decode give no pixels. A grey file repeats its channel; an
-    alpha channel is left out. ``image_id`` is a hash of the file's address.
-    """
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    n = F.col("nChannels")
-    at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("g")
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, g * nChannels + {k} + 1, 1)")), 16, 10).cast("int")
-    pixels = rows.where((F.col("width") > 0) & (F.col("height") > 0)).select(F.xxhash64("origin").alias("image_id"), "width", "data", "nChannels", at)
-    blue, green, red = byte(0), F.when(n >= 3, byte(1)).otherwise(byte(0)), F.when(n >= 3, byte(2)).otherwise(byte(0))
-    return pixels.select("image_id", (F.col("g") % F.col("width")).cast("int").alias("x"), F.floor(F.col("g") / F.col("width")).cast("int").alias("y"), red.alias("c0"), green.alias("c1"), blue.alias("c2"))
-
-
 def check_channels(pixels: DataFrame) -> DataFrame:
     """Per image: whether it has pixels and each has three channels, as the programs require."""
     full = F.col("c0").isNotNull() & F.col("c1").isNotNull() & F.col("c2").isNotNull()

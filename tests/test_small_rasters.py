@@ -156,7 +156,7 @@ def test_flood(spark, name):
 def test_flood_root_is_fixed(spark):
     image = RASTERS["row"]
     h, w = image.shape
-    far = flood.parents(table(spark, [(0, image)]), w, 4, 5.0)
+    far = flood.parents(table(spark, [(0, image)]), w, 4, 5.0, h)
     for _ in range(3):  # eight hops, and a row of seven pixels
         far = flood.jump(far)
     assert {(r["g"], r["p"]) for r in far.collect()} == {(r["g"], r["label"]) for r in flood.flood(table(spark, [(0, image)]), w, h, 4, 5.0, step=1).collect()}
@@ -206,13 +206,78 @@ def test_smallest_reachable():
 
 
 def test_image_files(spark, tmp_path):
-    import struct
-    import zlib
+    from pixelweave.sources import images
 
-    from pixelweave.sources import rasters
+    colour = np.arange(2 * 5 * 3).reshape(2, 5, 3) * 8
+    (tmp_path / "a.png").write_bytes(images.encode_png(colour))
+    (tmp_path / "-7.png").write_bytes(images.encode_png(colour[:1]))
+    (tmp_path / "no.png").write_bytes(b"not an image")
+    got = images.read_images(spark, str(tmp_path)).collect()
+    want = [(x, y, *colour[y, x].tolist()) for y in range(2) for x in range(5)]
+    assert sorted(tuple(r[1:]) for r in got if r["image_id"] != -7) == sorted(want)
+    assert sorted(tuple(r[1:]) for r in got if r["image_id"] == -7) == sorted(want[:5])
 
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rgb = bytes([0, 1, 2, 3, 250, 128, 64])  # a filter byte, then two pixels
-    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rgb)) + chunk(b"IEND", b""))
-    got = rasters.image_files(spark, str(tmp_path)).orderBy("x").collect()
-    assert [(r["x"], r["y"], r["c0"], r["c1"], r["c2"]) for r in got] == [(0, 0, 1, 2, 3), (1, 0, 250, 128, 64)]
+
+HASHED = 6_917_529_027_641_081_856  # such ids come from file addresses
+
+
+@pytest.mark.parametrize("name", ["snake", "random", "uniform", "checkerboard"])
+def test_tiles_agree_for_any_id(spark, name):
+    image = RASTERS[name]
+    h, w = image.shape
+    pixels = table(spark, [(HASHED, image), (-HASHED, image), (3, image)])
+    found = components.label_equal(pixels, w, h, tile=3)
+    flooded = flood.flood(pixels, w, h, 4, 12.0, tile=3)
+    merged = regions.merge_round(pixels, regions.one_per_pixel(pixels, w), w, h, tile=3)
+    whole = regions.merge_round(pixels, regions.one_per_pixel(pixels, w), w, h)
+    for i in (HASHED, -HASHED, 3):
+        own = lambda df: labels_of(df.where(F.col("image_id") == i))  # noqa: B023, E731
+        assert own(found) == brute_components(image, lambda a, b: a == b)
+        assert own(flooded) == brute_flood(image, 4, 12.0)
+        assert own(merged) == own(whole)
+
+
+def test_images_above_one_tile(spark):
+    """1,100 by 3: two tiles at the default size, and components that cross their border."""
+    image = np.zeros((3, 1100), int)
+    image[1, :1050] = 200
+    pixels = table(spark, [(HASHED, image)])
+    assert labels_of(components.label_range(pixels, 1100, 3, 12.0)) == brute_components(image, lambda a, b: 3 * (a - b) ** 2 < 12)
+    assert labels_of(flood.flood(pixels, 1100, 3, 4, 12.0)) == brute_flood(image, 4, 12.0)
+
+
+def test_gaps_stay_gaps(spark):
+    image = RASTERS["uniform"]
+    h, w = image.shape
+    holed = table(spark, [(0, image)]).where("x != 2")
+    for tile in (1024, 3):
+        got = holed.join(components.label_equal(holed, w, h, tile=tile).withColumn("x", (F.col("g") % w).cast("int")).withColumn("y", F.floor(F.col("g") / w).cast("int")), ["image_id", "x", "y"]).collect()
+        assert len(got) == h * (w - 1) and {(r["label"], r["x"] > 2) for r in got} == {(0, False), (1, True)}
+
+
+def test_radii_outside_the_range_run_as_the_largest(spark):
+    image = np.random.default_rng(2).integers(0, 3, (5, 40)) * 9
+    pixels = table(spark, [(0, image)])
+    run = lambda r: sorted(map(tuple, meanshift.mean_shift(pixels, r, 300.0).collect()))
+    assert run(20) == run(16) == run(0) != run(3)
+
+
+def test_frames_wait_until_they_are_complete(spark, tmp_path):
+    """Rows of four frames dealt over nine files, two a batch; the last frame never completes."""
+    from pixelweave.streaming.frames import frame_regions
+
+    image = RASTERS["random"]
+    h, w = image.shape
+    pixels = table(spark, [(i, image) for i in range(4)]).where(f"NOT (image_id = 3 AND y = {h - 1})")
+    got = {r["image_id"]: (r["pixels"], r["regions"]) for r in frame_regions(spark, pixels, lambda rows: rows, w, h, 1, 4.0, 6.0, files=9).collect()}
+    assert got[0] == got[1] == got[2] and got[0][0] == h * w and got[3][0] == (h - 1) * w
+
+
+def test_device_rules(spark):
+    image = RASTERS["uniform"]
+    h, w = image.shape
+    got = {r["g"]: r["p"] for r in flood.parents(table(spark, [(0, image)]), w, 2, 1.0, h, device=True).collect()}
+    for y in range(h):
+        for x in range(w):
+            near = [a * w + x for a in range(max(1, y - 2), y)] + [y * w + b for b in range(max(1, x - 2), x)]
+            assert got[y * w + x] == min(near, default=y * w + x)
