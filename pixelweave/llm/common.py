@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workspace import cleanup, materialise, new_path
+
 #: Words of every text contract: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -21,50 +21,6 @@ SLICE_BYTES = 1 << 20
 ARROW_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may run without that setting; it then gets a folder of
-    its own. On a cluster a missing setting is an error: a machine-local folder
-    would lose files that other executors need.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jvm_dir.get() if jvm_dir.isDefined() else None
-    if base is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join("/tmp", "pixelweave-checkpoints")
-        spark.sparkContext.setCheckpointDir("file://" + base)
-        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/pixelweave"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder of this application below the shared one."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete what this application wrote below the shared folder; results read from it are gone, too."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{context.applicationId}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    This cuts lineage with a table that outlives any executor, and gives the
-    planner true sizes.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tune_arrow(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
@@ -114,6 +70,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - before, lengths)
 
 
+def pick(table: DataFrame, needed: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The ``needed`` columns by name, and ``keep`` as kept_0, kept_1, ..., whatever else the table holds.
+
+    Columns are taken by place, so dots, blanks and names that differ in case
+    only do no harm; a name that isn't there may be spelt in another case.
+    """
+    names = table.columns
+    folded = [n.lower() for n in names]
+    flat = table.toDF(*[f"p{k}" for k in range(len(names))])
+    at = lambda n: F.col(f"p{names.index(n) if n in names else folded.index(n.lower())}")
+    return flat.select(*[at(n).alias(n) for n in needed], *[at(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+
+
+def named(keep: Sequence[str]) -> list[Column]:
+    """The columns that ``pick`` kept, by their own names."""
+    return [F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)]
+
+
 def whole(docs: DataFrame, *extra: str) -> DataFrame:
-    """Only the needed columns of a table, by name, whatever else it holds."""
-    return docs.select(*[F.col(f"`{c}`") for c in ("doc_id", "text", *extra)])
+    """doc_id as a number, text, and further columns by name."""
+    return pick(docs, ["doc_id", "text", *extra]).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+__all__ = ["WORD_PATTERN", "cleanup", "held_out", "materialise", "named", "new_path", "pick", "ragged", "slices", "text_bytes", "tune_arrow", "unit_hash", "whole"]

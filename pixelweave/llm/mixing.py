@@ -21,8 +21,10 @@ So the result is the same for any number of shards, and nothing is rounded in a
 shard.
 
 Defined cases: a null or empty text has size 0 and takes nothing. Null doc_ids
-are dealt by their text. Repeated rows are placed each; equal rows are
-interchangeable, so a rerun gives the same rows. An empty table gives an empty
+are dealt by their text. Repeated rows are placed each; rows of equal doc_id lie
+by size and a hash of their text, and equal rows are interchangeable, so a rerun
+gives the same rows. Rows that share a doc_id, or a null one and a text, lie in
+one shard, which is sorted on disk if it is large. An empty table gives an empty
 result. Extra columns stay if named in ``keep``, and are ignored otherwise.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise
+from .common import WORD_PATTERN, materialise, named, pick
 
 WEIGHTS, VOLUME, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_DOCS, SEED = 16, 1000, 7
@@ -91,10 +93,12 @@ def shard_quotas(lines: DataFrame, block: int = BLOCK_WORDS, limit: float = LIMI
     return totals.join(won, ["shard", "place"], "left").select("shard", "place", "line", words.alias("quota"))
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: int = LIMIT, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """doc_id, ``keep``, size, source_size, target and taken of every document; ``prefixed`` names the kept columns kept_<name>."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).alias("nameless"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    sized = named if keep else materialise(named, "sizes")
+def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: int = LIMIT, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+    """doc_id, ``keep``, size, source_size, target and taken of every document."""
+    places = [f"kept_{k}" for k in range(len(keep))]
+    text = F.col("text").cast("binary")
+    counted = pick(docs, ["doc_id", "source", "text"], keep).select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(text)).alias("nameless"), F.xxhash64(text).alias("mark"), *places)
+    sized = counted if keep else materialise(counted, "sizes")
     targets = materialise(source_targets(sized, weights, volume, limit), "targets")
     shards = max(1, -(-(targets.agg(F.sum("n_docs")).first()[0] or 0) // shard_docs))
     name = F.coalesce(F.col("doc_id").cast("string"), F.col("nameless"), F.lit(""))
@@ -108,7 +112,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weigh
     before = W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
     stretches = placed.groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
     starts = materialise(stretches.select(F.col("shard").alias("s_shard"), F.col("place").alias("s_place"), F.coalesce(F.sum("stretch").over(before), F.lit(0)).alias("start")), "starts")
-    order = W.partitionBy("shard", "place").orderBy("deal", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("shard", "place").orderBy("deal", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("upto", F.sum("size").over(order))
     met = laid.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("place") == F.col("s_place")))
     met = met.withColumn("end", F.col("start") + F.col("upto")).withColumn("begin", F.col("end") - F.col("size"))
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), prefixed: bool = False, weigh
         return F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("begin"), a))
 
     taken = F.col("passes") * F.col("size") + shared(F.col("first"), F.least("last", "line")) + shared(F.lit(0), F.col("last") - F.col("line"))
-    return met.select("doc_id", *[F.col(f"kept_{c}").alias(f"kept_{c}" if prefixed else c) for c in keep], "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return met.select("doc_id", *named(keep), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def oracle(weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: int = LIMIT, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> str:

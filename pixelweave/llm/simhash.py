@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     found[at + i] = fingerprint(text.lower().split(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return whole(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    return whole(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:

@@ -1,8 +1,14 @@
 """Stages of the corpus pipeline: each keeps, drops or repeats whole documents.
 
-All but the last return the columns of their input, whatever these are, as long
-as ``doc_id``, ``text`` and (where a stage needs them) ``lang`` and ``source``
-are among them. Each judges all its input.
+All but the last return the columns of their input, whatever these are called,
+as long as ``doc_id``, ``text`` and (where a stage needs them) ``lang`` and
+``source`` are among them; columns travel by place. Each judges all its input.
+
+Defined cases: a null or empty text has no letter and no word, so language ID
+and the quality rules drop it. Repeated rows are judged each; near-duplicates
+keep one row of them, and mixing repeats each by itself. A null doc_id never
+names a group, so a row with an id stays in its place if the group has one. An
+empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -17,38 +23,55 @@ from .common import materialise
 MIN_SCORE = 0.5
 
 
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns by name, and all columns by place, as kept_0, kept_1, ..."""
+    by_place = [f"column {k}" for k in range(len(docs.columns))]
+    names, folded = docs.columns, [c.lower() for c in docs.columns]
+    at = [names.index(n) if n in names else folded.index(n.lower()) for n in needed]
+    flat = docs.toDF(*by_place)
+    return flat.select(*[F.col(f"`{by_place[k]}`").alias(n) for n, k in zip(needed, at, strict=True)], *[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(by_place)])
+
+
+def _places(docs: DataFrame) -> list[str]:
+    return [f"kept_{k}" for k in range(len(docs.columns))]
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*_places(docs)).toDF(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those no language claims."""
-    found = language.identify(docs, language.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    rows = _carried(docs, "doc_id", "text", "lang")
+    found = language.identify(rows, language.fit(rows), keep=_places(docs))
+    return _restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a base rule or a certified cutoff."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    counted = materialise(quality.text_statistics(docs, keep=docs.columns), "counted")
-    cutoffs = quality.choose_cutoffs(counted.select(*quality.COUNTS, F.col("kept_doc_id").cast("long").alias("doc_id")), labels)
-    judged = quality.judge(counted, cutoffs).where("kept")
-    return judged.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    counted = materialise(quality.text_statistics(_carried(docs, "doc_id", "text"), keep=["doc_id", *_places(docs)]), "counted")
+    cutoffs = quality.choose_cutoffs(counted.withColumn("doc_id", F.col("doc_id").cast("long")), labels)
+    return _restored(quality.judge(counted, cutoffs).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the smallest doc_id, and one row of that."""
-    rows = materialise(docs.withColumn("row_number_", F.monotonically_increasing_id()), "numbered")
-    prints = materialise(simhash.fingerprints(rows.select(F.col("row_number_").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
-    ids = rows.select(F.col("row_number_").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = materialise(_carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    prints = materialise(simhash.fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
+    ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     per_print = prints.join(ids, "row").groupBy("fp").agg(F.min(first).alias("first"))
     labelled = simhash.label(per_print).groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(labelled.select(F.col("first.row").alias("row_number_")), "row_number_", "left_semi").select(*docs.columns)
+    return _restored(rows.join(labelled.select(F.col("first.row").alias("row")), "row", "left_semi"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes its words, to the nearest whole document."""
-    mixed = mixing.mix(docs, keep=docs.columns, prefixed=True)
+    mixed = mixing.mix(_carried(docs, "doc_id", "text", "source"), keep=_places(docs))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    copies = mixed.withColumn("copy_", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    return copies.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return _restored(mixed.select("*", F.explode(copies).alias("copy")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
