@@ -2,23 +2,25 @@
 
 ``text_statistics`` counts words, symbols, repeated lines and repeated word
 windows of whole texts. Two base rules always hold. Beyond them, each rule of
-``RULES`` rejects what lies past a cutoff, and the cutoffs are chosen from
-labelled holdouts: a cutoff may be used in a stratum only if the exact binomial
-(Clopper-Pearson) upper bound on its rate of rejected good documents is at most
-``risk`` divided by the number of rules. All cutoffs of all rules and strata
-are tested at once, so the confidence is divided by their number (Bonferroni).
-Together the rules then reject at most ``risk`` of a stratum's good documents
-with probability 1 - ``delta``. Of the cutoffs that pass, the sharpest is used;
-if none passes, the rule rejects nothing in that stratum.
-
-A stratum with too few good documents for any cutoff to pass, even without a
-false rejection, leaves its part of the confidence unspent: ``delta`` divided by
-the number of strata. It spends that on one fixed sequence instead, in which all
-rules step together from their mildest cutoffs to their sharpest: a step holds
-if the bound on the good documents that any rule rejects is at most ``risk``,
-and the last step before the first that fails is used. Which of the two tests a
-stratum gets depends on its number of good documents only, so the joint
-guarantee stays.
+``RULES`` rejects what lies past a cutoff. The cutoffs of a stratum are chosen
+from its labelled good documents, in two halves that share none:
+
+1. A quarter of them, drawn by a hash of doc_id, lays out a path of settings
+   from mild to sharp, each with a cutoff for every rule: first so many grid
+   steps beyond the sharpest cutoff that rejects none of this quarter
+   (``MARGINS``), then the sharpest that reject no more than growing shares of
+   ``risk`` (``SHARES``).
+2. The rest test the path in this order: a setting holds if the exact binomial
+   (Clopper-Pearson) upper bound on the good documents that any of its rules
+   rejects is at most ``risk``. The last setting before the first that fails is
+   used; if the first fails, only the base rules reject.
+
+As the order is fixed before the second half is looked at and testing stops at
+the first failure, each test has the stratum's whole confidence; that is
+``delta`` over the number of strata (Bonferroni), so with probability 1 -
+``delta`` no stratum loses more than ``risk`` of its good documents to the
+rules. The same holds at every size: a stratum whose second half has fewer than
+about ln(strata / delta) / risk good documents (438) can't certify anything.
 
 Defined cases: a null, empty or blank text has no words and fails the base
 rules. Labels that are null are ignored, a document labelled more than once
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes, tune_arrow
+from .common import materialise, pick, slices, text_bytes, tune_arrow
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 RISK, DELTA = 0.01, 0.05
@@ -52,8 +54,10 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "short_words": ("-word_chars / n_words", [round(-4.5 + 0.15 * k, 2) for k in range(24)]),
 }
 
-#: In counts per rule: the furthest place of a document by any rule.
-ANY_RULE = "any"
+#: The path of settings: steps of a rule's grid beyond its sharpest cutoff that rejects none, then shares of the rule's part of the risk.
+MARGINS, SHARES = (8, 4, 2, 1, 0), (0.125, 0.25, 0.5, 1.0)
+#: A good document in so many lays out the path, the others test it.
+PATH_PART = 4
 
 #: Strata: bands of the number of words.
 BANDS = (100, 300, 1000)
@@ -129,19 +133,21 @@ def _statistics(part: pa.Array, window: int) -> list[np.ndarray]:
 
 
 def text_statistics(docs: DataFrame, window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
-    """Counts of every whole text, one row a document, with doc_id or else the columns ``keep`` as kept_<name>."""
+    """Counts of every whole text, one row a document, with doc_id or else the columns ``keep``."""
     tune_arrow(docs.sparkSession)
-    own = {"doc_id": F.col("doc_id").cast("long")} if not keep else {f"kept_{c}": F.col(c) for c in keep}
-    rows = docs.select("text", *[c.alias(n) for n, c in own.items()])
-    names = [*own, *COUNTS]
-    schema = [*[f"`{n}` {rows.schema[k + 1].dataType.simpleString()}" for k, n in enumerate(own)], *[f"{n} long" for n in COUNTS]]
+    rows = pick(docs, ["text"], keep or ["doc_id"])
+    places = [f"kept_{k}" for k in range(len(keep or ["doc_id"]))]
+    if not keep:
+        rows = rows.withColumn("kept_0", F.col("kept_0").cast("long"))
+    schema = [*[f"{p} {rows.schema[p].dataType.simpleString()}" for p in places], *[f"{n} long" for n in COUNTS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(part)) for c in batch.columns[1:]], *[pa.array(x, pa.int64()) for x in _statistics(part, window)]], names=names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(part)) for c in batch.columns[1:]], *[pa.array(x, pa.int64()) for x in _statistics(part, window)]], names=[*places, *COUNTS])
 
-    return rows.mapInArrow(run, ", ".join(schema))
+    counted = rows.mapInArrow(run, ", ".join(schema))
+    return counted.select(*[F.col(p).alias(c) for p, c in zip(places, keep or ["doc_id"], strict=True)], *COUNTS)
 
 
 def base_failed() -> Column:
@@ -173,37 +179,60 @@ def certified(n: int, k: int, risk: float, delta: float) -> bool:
     return n > 0 and k < n and tail(n, k, risk) <= delta
 
 
+def _path(places: list[int], n: int, risk: float) -> list[int | None]:
+    """A rule's cutoff in each setting of the path; ``places`` counts documents by how many cutoffs they passed.
+
+    None is no cutoff. Cutoff i rejects those that passed more than i.
+    """
+    size = len(places) - 1
+    rejected = [sum(places[i + 1 :]) for i in range(size)]
+    none = next((i for i in range(size) if not rejected[i]), size)
+    within = [next((i for i in range(size) if rejected[i] <= share * risk / len(RULES) * n), size) for share in SHARES]
+    return [i if i < size else None for i in [*[none + m for m in MARGINS], *within]]
+
+
 def choose_cutoffs(statistics: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """(stratum, rule) to the sharpest cutoff whose false rejections are certified.
+    """(stratum, rule) to its cutoff in the sharpest setting that is certified.
 
-    A small stratum steps through all rules' cutoffs together. Only a histogram
-    of cutoff places per stratum and rule reaches the driver.
+    Only histograms per stratum and rule reach the driver: of cutoffs passed in
+    the first half, of the first setting that rejects in the second.
     """
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    good = pick(labels, ["doc_id", "quality"]).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = statistics.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
-    past_of = {name: sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cutoffs), F.lit(0)) for name, (value, cutoffs) in RULES.items()}
-    past_of[ANY_RULE] = F.greatest(*past_of.values())
-    places = F.array(*[F.struct(F.lit(name).alias("rule"), past.alias("past")) for name, past in past_of.items()])
-    counted = held.select("stratum", F.explode(places).alias("r")).groupBy("stratum", "r.rule", "r.past").count().collect()
-    n_tests = (len(BANDS) + 1) * sum(len(c) for _, c in RULES.values())
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("path|"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % PATH_PART
+    passed = {name: sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cutoffs), F.lit(0)) for name, (value, cutoffs) in RULES.items()}
+    halves = materialise(held.select("stratum", (drawn == 0).alias("first"), *[c.alias(name) for name, c in passed.items()]), "good")
+    counted = halves.where("first").select("stratum", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("passed")) for name in RULES])).alias("r")).groupBy("stratum", "r.rule", "r.passed").count().collect()
+    strata = range(len(BANDS) + 1)
+    path: dict[tuple[int, str], list[int | None]] = {}
+    for s in strata:
+        for rule, (_, cutoffs) in RULES.items():
+            places = [0] * (len(cutoffs) + 1)
+            for row in counted:
+                if (row["stratum"], row["rule"]) == (s, rule):
+                    places[row["passed"]] = row["count"]
+            path[s, rule] = _path(places, sum(places), risk)
+    steps = len(MARGINS) + len(SHARES)
+    # cutoffs of a rule only fall along the path, so a document is rejected from its first such setting on
+    def milder(s: int, rule: str) -> Column:
+        """How many settings of the path spare the document."""
+        return sum((F.when(F.col(rule) <= (len(RULES[rule][1]) if i is None else i), 1).otherwise(0) for i in path[s, rule]), F.lit(0))
+
+    first = F.coalesce(*[F.when(F.col("stratum") == s, F.least(*[milder(s, rule) for rule in RULES])) for s in strata])
+    tested = halves.where("NOT first").select("stratum", first.alias("step")).groupBy("stratum", "step").count().collect()
     chosen = {}
-    for s in range(len(BANDS) + 1):
-        places_of = {rule: [0] * (max(len(c) for _, c in RULES.values()) + 1) for rule in past_of}
-        for row in counted:
+    for s in strata:
+        at = [0] * (steps + 1)
+        for row in tested:
             if row["stratum"] == s:
-                places_of[row["rule"]][row["past"]] = row["count"]
-        n = sum(places_of[ANY_RULE])
-        if certified(n, 0, risk / len(RULES), delta / n_tests):
-            for rule, (_, cutoffs) in RULES.items():
-                for i, cutoff in enumerate(cutoffs):  # past cutoff i: those that passed more than i of the rising cutoffs
-                    if certified(n, sum(places_of[rule][i + 1 :]), risk / len(RULES), delta / n_tests):
-                        chosen[s, rule] = cutoff
-                        break
-            continue
-        for i in reversed(range(min(len(c) for _, c in RULES.values()))):
-            if not certified(n, sum(places_of[ANY_RULE][i + 1 :]), risk, delta / (len(BANDS) + 1)):
+                at[row["step"]] = row["count"]
+        last = None
+        for k in range(steps):
+            if not certified(sum(at), sum(at[: k + 1]), risk, delta / len(strata)):
                 break
-            chosen |= {(s, rule): cutoffs[i] for rule, (_, cutoffs) in RULES.items()}
+            last = k
+        if last is not None:
+            chosen |= {(s, rule): cutoffs[path[s, rule][last]] for rule, (_, cutoffs) in RULES.items() if path[s, rule][last] is not None}
     return chosen
 
 
@@ -222,18 +251,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 
 
 def oracle(window: int = WINDOW, risk: float = RISK, delta: float = DELTA) -> str:
-    """``quality_rules`` of the tables documents and labels as DuckDB SQL, without the sequence of small strata.
-
-    Equal on tables where each stratum has enough good documents for a cutoff
-    to pass alone, or too few for the sequence.
-    """
+    """``quality_rules`` of the tables documents and labels as DuckDB SQL."""
     space = r"\x20\x09-\x0D"
     symbols = "[^#*$%&|<>]"
     band = " + ".join(f"(n_words >= {b})::INT" for b in BANDS)
     values = " UNION ALL ".join(f"SELECT r, stratum, '{rule}' AS rule, {value.replace('/ n_words', '/ greatest(n_words, 1)')} AS value FROM judged" for rule, (value, _) in RULES.items())
     cutoffs = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, (_, own) in RULES.items() for i, c in enumerate(own))
-    n_tests = (len(BANDS) + 1) * sum(len(c) for _, c in RULES.values())
-    p = f"({risk / len(RULES)!r}::DOUBLE)"
+    p = f"({risk!r}::DOUBLE)"
+    size = max(len(own) for _, own in RULES.values())
+    margins = ", ".join(f"({k}, {m})" for k, m in enumerate(MARGINS))
+    shares = ", ".join(f"({len(MARGINS) + k}, {share * risk / len(RULES)!r}::DOUBLE)" for k, share in enumerate(SHARES))
     return f"""
     WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^{space}]+') AS ws FROM t),
@@ -247,10 +274,17 @@ def oracle(window: int = WINDOW, risk: float = RISK, delta: float = DELTA) -> st
         judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {band} AS stratum FROM stats),
         good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
         vals AS ({values}),
-        held AS (SELECT v.* FROM vals v JOIN judged j ON j.r = v.r WHERE NOT j.base_failed AND j.doc_id IN (SELECT doc_id FROM good)),
+        held AS (SELECT v.*, CAST('0x' || substr(md5('path|' || j.doc_id), 1, 8) AS BIGINT) % {PATH_PART} = 0 AS first FROM vals v JOIN judged j ON j.r = v.r WHERE NOT j.base_failed AND j.doc_id IN (SELECT doc_id FROM good)),
         cutoff(rule, i, c) AS (VALUES {cutoffs}),
-        trial AS (SELECT stratum, rule, i, c, count(*) AS n, count(CASE WHEN value > c THEN 1 END) AS k FROM held JOIN cutoff USING (rule) GROUP BY ALL),
-        below AS (SELECT stratum, rule, i, c, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln{p} + (n - j) * ln(1 - {p}))) AS tail FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM trial WHERE k < n) GROUP BY ALL),
-        chosen AS (SELECT stratum, rule, min(i) AS i FROM below WHERE tail <= {delta / n_tests!r}::DOUBLE GROUP BY stratum, rule),
-        rejected AS (SELECT DISTINCT v.r FROM vals v JOIN chosen h ON h.stratum = v.stratum AND h.rule = v.rule JOIN cutoff x ON x.rule = h.rule AND x.i = h.i WHERE v.value > x.c)
+        bands AS (SELECT unnest(range({len(BANDS) + 1}))::INT AS stratum),
+        trial AS (SELECT b.stratum, x.rule, x.i, count(h.r) AS n, count(CASE WHEN h.value > x.c THEN 1 END) AS k FROM bands b CROSS JOIN cutoff x LEFT JOIN held h ON h.first AND h.stratum = b.stratum AND h.rule = x.rule GROUP BY ALL),
+        path AS (SELECT stratum, rule, t.step, min(CASE WHEN k = 0 THEN i END) + t.m AS i FROM trial, (VALUES {margins}) t(step, m) GROUP BY stratum, rule, t.step, t.m
+            UNION ALL SELECT stratum, rule, t.step, min(CASE WHEN k <= t.a * n THEN i END) FROM trial, (VALUES {shares}) t(step, a) GROUP BY stratum, rule, t.step, t.a),
+        setting AS (SELECT p.stratum, p.rule, p.step, x.c FROM path p JOIN cutoff x ON x.rule = p.rule AND x.i = p.i WHERE p.i < {size}),
+        losses AS (SELECT h.r, h.stratum, s.step, max((h.value > s.c)::INT) AS lost FROM held h JOIN setting s ON s.stratum = h.stratum AND s.rule = h.rule WHERE NOT h.first GROUP BY ALL),
+        steps AS (SELECT b.stratum, t.step, (SELECT count(DISTINCT r) FROM held h WHERE NOT h.first AND h.stratum = b.stratum) AS n, (SELECT coalesce(sum(lost), 0) FROM losses l WHERE l.stratum = b.stratum AND l.step = t.step) AS k FROM bands b, range({len(MARGINS) + len(SHARES)}) t(step)),
+        tails AS (SELECT stratum, step, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln{p} + (n - j) * ln(1 - {p}))) AS tail FROM (SELECT *, unnest(range(0, CAST(k AS BIGINT) + 1)) AS j FROM steps WHERE k < n) GROUP BY ALL),
+        failed AS (SELECT s.stratum, min(s.step) AS step FROM steps s LEFT JOIN tails t USING (stratum, step) WHERE t.tail IS NULL OR t.tail > {delta / (len(BANDS) + 1)!r}::DOUBLE GROUP BY s.stratum),
+        chosen AS (SELECT s.stratum, s.rule, s.c FROM setting s LEFT JOIN failed f USING (stratum) WHERE s.step = coalesce(f.step, {len(MARGINS) + len(SHARES)}) - 1),
+        rejected AS (SELECT DISTINCT v.r FROM vals v JOIN chosen h ON h.stratum = v.stratum AND h.rule = v.rule WHERE v.value > h.c)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept FROM judged"""
