@@ -92,5 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": urls.oracle(),
         "op5_quality_rules": quality.oracle(),
         "op7_source_mixing": mixing.oracle(),
-        "op8_nearest_neighbours": curves.oracle(),  # up to LEAST_ROWS vectors the windows span the table
+        "op8_nearest_neighbours": curves.oracle(),
     }
