@@ -9,11 +9,15 @@ response's WARC and HTTP headers and digests, which ``derive`` verifies.
 
 Files are WARC/1.1, one gzip member a record, written under a temporary name
 and moved, so a lost executor leaves no part of a file. Readers stream record
-by record. Identifiers are made from the contents, so reruns agree.
+by record. An identifier is made from a record's contents and its place (file
+and number), so equal records have different ones and a rerun of a task makes
+the same.
 
 Defined cases: a null html is an empty payload, a null url the target
 ``about:blank``, a null page_id no source key. Bytes that a header can't hold
-are percent-encoded. Repeated rows are records of equal content. An empty table
+are percent-encoded. Repeated rows are records of equal content, each with its
+own identifiers. Pages are parsed in one pass whose time grows as their length,
+however long or broken they are; one page at a time is in memory. An empty table
 makes no file and gives an empty result. Extra columns are ignored.
 """
 
@@ -35,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, tune_arrow
+from .common import materialise, new_path, pick, tune_arrow
 from .storage import open_store, write_whole
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
@@ -57,10 +61,10 @@ def safe_value(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record(kind: str, headers: Header, block: bytes) -> tuple[str, bytes]:
-    """(record id, bytes) of a record; the id comes from its headers and block."""
+def record(kind: str, headers: Header, block: bytes, place: str = "") -> tuple[str, bytes]:
+    """(record id, bytes) of a record; the id comes from its headers and block, and its place if equal ones may follow."""
     own = [("WARC-Block-Digest", sha1(block)), *headers]
-    number = uuid.uuid5(NAMESPACE, "\n".join([kind, *(f"{k}: {v}" for k, v in own)]))
+    number = uuid.uuid5(NAMESPACE, "\n".join([kind, place, *(f"{k}: {v}" for k, v in own)]))
     name = f"<urn:uuid:{number}>"
     lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *(f"{k}: {v}" for k, v in own), f"Content-Length: {len(block)}"]
     return name, "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -98,26 +102,82 @@ def http_block(payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
+def response(page_id: int | None, url: str | None, page: str | None, place: str = "") -> bytes:
     payload = (page or "").encode("utf-8", "surrogatepass")
     headers = [("WARC-Target-URI", safe_value(url or "about:blank")), ("WARC-Date", DATE), ("WARC-Payload-Digest", sha1(payload)), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         headers.append(("X-Source-Key", str(page_id)))
-    return record("response", headers, http_block(payload))[1]
+    return record("response", headers, http_block(payload), place)[1]
 
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|title|head|body|html|dl|dt|dd|form|option)\b[^>]*)>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = {"script", "style", "noscript", "template"}
+BREAKS = set("p div br hr li ul ol tr td th table h1 h2 h3 h4 h5 h6 section article header footer nav aside main blockquote pre title head body html dl dt dd form option".split())
+
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9]*")
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in (*HIDDEN, "title")}
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; numbers beyond all characters become the replacement character."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+def parse_page(page: str) -> tuple[str, str, list[str]]:
+    """(plain text, title, links) in one pass that never looks at a character more than a few times.
+
+    A tag runs from < and a letter, /, ! or ? to the next >; without one, the
+    rest is text. What hidden elements and comments hold is left out, to the end
+    of the page if they never close. Block elements begin a line. The title is
+    what the first title element that closes holds; links are the href of each a.
+    """
+    out: list[str] = []
+    links: list[str] = []
+    title: str | None = None
+    at, tag = 0, page.find("<")
+    while tag >= 0:
+        ahead = page[tag + 1 : tag + 2]
+        if not (ahead in "/!?" or "a" <= ahead.lower() <= "z") or not ahead:
+            tag = page.find("<", tag + 1)
+            continue
+        out.append(page[at:tag])
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            tag = page.find("<", at)
+            continue
+        end = page.find(">", tag)
+        if end < 0:  # nor is there a later tag
+            at = tag
+            break
+        at = end + 1
+        found = _NAME.match(page, tag + 1, end)
+        name = found[0].lower() if found else ""
+        if name in HIDDEN:
+            close = _CLOSING[name].search(page, at)
+            close_end = page.find(">", close.start()) if close else -1
+            out.append(" ")
+            at = close_end + 1 if close_end >= 0 else len(page)
+        elif name.removeprefix("/") in BREAKS:
+            out.append("\n")
+            if name == "title" and title is None:
+                close = _CLOSING[name].search(page, at)
+                title = " ".join(unescape(page[at : close.start()]).split()) if close else ""  # without an end, no later one has any
+        elif name == "a":
+            href = _HREF.search(page, found.end(), end)
+            if href:
+                links.append(unescape(href[1] or href[2] or href[3] or ""))
+        tag = page.find("<", at)
+    out.append(page[at:])
+    lines = (" ".join(line.split()) for line in unescape("".join(out)).split("\n"))
+    return "\n".join(line for line in lines if line), title or "", links
 
 
 def plain_text(page: str) -> str:
     """Visible text: a line per block element, white space collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return parse_page(page)[0]
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
@@ -128,18 +188,16 @@ def derivatives(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
         raise ValueError(f"digest mismatch in {headers.get('WARC-Record-ID')}")
     status, *fields = head.decode("latin-1").split("\r\n")
     page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
+    text, title, links = parse_page(page)
     envelope = {
         "source": headers,
         "http": {"status": status, "headers": dict(f.split(": ", 1) for f in fields if ": " in f)},
-        "title": " ".join(html.unescape(title[1]).split()) if title else "",
+        "title": title,
         "links": links,
     }
     linked = [("WARC-Refers-To", headers["WARC-Record-ID"]), *((k, headers[k]) for k in ("WARC-Target-URI", "WARC-Date", "X-Source-Key") if k in headers)]
     meta = record("metadata", [*linked, ("Content-Type", "application/json")], json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"))[1]
-    text = plain_text(page).encode("utf-8", "replace")
-    return meta, record("conversion", [*linked, ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", "text/plain; charset=utf-8")], text)[1]
+    return meta, record("conversion", [*linked, ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", "text/plain; charset=utf-8")], text.encode("utf-8", "replace"))[1]
 
 
 def member(data: bytes) -> bytes:
@@ -164,7 +222,7 @@ def write_responses(pages: DataFrame, folder: str | None = None, file_bytes: int
                 nonlocal held
                 size = 0
                 while held is not None and size < file_bytes:
-                    data = response(*held)
+                    data = response(*held, f"{part}/{k}/{count[0]}")
                     out.write(member(data))
                     size, count[0], held = size + len(data), count[0] + 1, next(rows, None)
 
@@ -172,7 +230,7 @@ def write_responses(pages: DataFrame, folder: str | None = None, file_bytes: int
             k += 1
             yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array(count, pa.int64())], names=["path", "records"])
 
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    chosen = pick(pages, ["page_id", "url", "html"]).withColumn("page_id", F.col("page_id").cast("long"))
     return materialise(chosen.mapInArrow(run, "path string, records long"), "warc-files")
 
 
