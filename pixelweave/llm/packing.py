@@ -7,9 +7,12 @@ gives every piece a sequence and an offset:
    groups of bounded size and each group is packed by best-fit decreasing.
 2. Dual-feasible functions give each group a lower bound on its number of
    sequences. A group whose count equals its bound is certified optimal.
-3. The sequences that aren't full, of groups with a gap, meet in new groups
-   (several old groups to a new one), are packed again there, and the better
-   of the two packings stays. This repeats until no gap closes.
+3. The sequences that aren't full, of groups with a gap, are dealt to new
+   groups, at most half as many, are packed again there, and the better of the
+   two packings stays. This repeats until an exchange closes less than
+   ``LEAST_GAIN`` of the gaps, or no two groups have one.
+
+``certificate`` holds the result against the bound of the whole table.
 
 Nulls and oddities: a null or empty text is one document of no ids but the end
 id. Repeated rows are packed once each. A null doc_id is packed like any other.
@@ -31,8 +34,10 @@ from .common import materialise, tune_arrow, whole
 from .tokens import WordTokenizer
 
 CAPACITY = 2048
-#: Pieces that a packing group holds on average, and old groups that meet in a new one.
-GROUP_PIECES, MEET, ROUNDS = 60_000, 4, 3
+#: Pieces that a packing group holds on average.
+GROUP_PIECES = 60_000
+#: Exchanges go on while each closes at least this share of the gaps it met.
+LEAST_GAIN = 0.02
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "part long, local long, offset long, length long, doc_id long, piece int, start long, ids_crc32 long, used long, bound long, bins long"
@@ -59,18 +64,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return whole(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, PIECES)
+    return whole(docs).mapInArrow(cut, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """The best of three families of dual-feasible functions, at every useful parameter.
 
     Each maps lengths so that any set that fits keeps a sum of at most one
     sequence; the sum over all pieces, rounded up, is then a lower bound.
+    ``counts`` says how often each length occurs, if they come counted.
     """
     if not len(lengths):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
+    sizes, counts = np.unique(lengths, return_counts=True) if counts is None else (np.asarray(lengths, np.int64), np.asarray(counts, np.int64))
     best = -(-int((sizes * counts).sum()) // capacity)
     half = sizes[sizes * 2 <= capacity]
     for e in np.unique(half):  # over capacity - e count whole, under e nothing, the rest by length
@@ -150,12 +156,11 @@ def _repack_group(capacity: int):
     return repack
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, meet: int = MEET, rounds: int = ROUNDS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` rows.
 
-    A group takes about ``group_pieces`` rows and ``meet`` of them meet in a
-    round, so a task's memory doesn't grow with the table. The bounds are what
-    ``certificate`` of the result's first return column reports.
+    A group takes about ``group_pieces`` rows in every round, so a task's memory
+    doesn't grow with the table.
     """
     rows = materialise(rows, "pieces")
     full, loose = rows.where(F.col("length") >= capacity), rows.where(F.col("length") < capacity)
@@ -167,19 +172,24 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     def keyed(df: DataFrame, k: int) -> DataFrame:
         return df.withColumn("key", F.struct(F.lit(k).alias("round"), F.col("part"), F.col("local")))
 
-    for k in range(rounds):
+    k = 0
+    while True:
         gaps = packed.select("part", "bins", "bound").where("bins > bound").distinct()
         many, gap = gaps.agg(F.count("*"), F.sum(F.col("bins") - F.col("bound"))).first()
-        if many < 2 or k == rounds - 1 or not gap:
+        if many < 2:
+            break
+        joined = packed.join(gaps.select("part", F.lit(True).alias("open")), "part", "left").withColumn("open", F.coalesce("open", F.lit(False)) & (F.col("used") < capacity))
+        moving = joined.where("open")
+        before, loads = moving.agg(F.countDistinct("part", "local"), F.count("*")).first()
+        # whole sequences move, dealt by a hash, so each new group mixes what several old ones brought
+        meets = min(max(1, many // 2), -(-loads // group_pieces))
+        met = materialise(moving.withColumn("meet", F.pmod(F.xxhash64("part", "local", F.lit(k)), F.lit(meets))).groupBy("meet").applyInPandas(_repack_group(capacity), PACKED), "repacked")
+        after = met.select("part", "bins").distinct().agg(F.sum("bins")).first()[0]
+        done.append(keyed(joined.where("NOT open"), k))
+        packed, k = met, k + 1
+        if before - after < max(1, least_gain * gap):
             break
-        # groups with a gap meet by rank of a hash, so that each new group takes `meet` of them
-        met = gaps.select("part", F.pmod(F.xxhash64("part", F.lit(k)), F.lit(max(1, many // meet))).alias("meet"))
-        joined = packed.join(met, "part", "left")
-        stay = joined.where(F.col("meet").isNull() | (F.col("used") >= capacity)).drop("meet")
-        moving = joined.where(F.col("meet").isNotNull() & (F.col("used") < capacity))
-        done.append(keyed(stay, k))
-        packed = materialise(moving.groupBy("meet").applyInPandas(_repack_group(capacity), PACKED), "repacked")
-    done.append(keyed(packed, rounds))
+    done.append(keyed(packed, k))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     out = None
     for df in done:
@@ -192,13 +202,29 @@ def _sequence_number(key):
     """A number no two sequences share: round in the low bits, then group and place.
 
     A whole piece uses Spark's row number (partition and place), a packed one
-    its group (below 2^28) and place within it (below 2^32).
+    its group (below 2^27) and place within it (below 2^28).
     """
-    whole_piece = key["local"] * 8
-    packed_one = (key["part"] * F.lit(1 << 32) + key["local"]) * 8 + key["round"] + 1
+    whole_piece = key["local"] * 64
+    packed_one = (key["part"] * F.lit(1 << 28) + key["local"]) * 64 + key["round"] + 1
     return F.when(key["round"] == -1, whole_piece).otherwise(packed_one)
 
 
-def certificate(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Per table: sequences used and the length bound no packing can beat."""
-    return rows.agg(F.countDistinct("sequence_id").alias("sequences"), F.ceil(F.sum("length") / capacity).alias("length_bound"))
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """What ``pack`` gave against what no packing can beat, in one row.
+
+    sequences (used), length_bound (all tokens by the capacity), bound (the
+    best dual-feasible function over the whole table's lengths) and certified
+    (whether sequences meets bound, so that fewer are impossible). The bound
+    is taken from the histogram of lengths, one row for each at most.
+    """
+    lengths = packed.groupBy("length").count()
+
+    def bounds(table: pa.Table) -> pa.Table:
+        sizes, counts = (table.column(c).to_numpy() for c in ("length", "count"))
+        found = lower_bound(sizes, capacity, counts)
+        return pa.table({"length_bound": pa.array([-(-int((sizes * counts).sum()) // capacity)], pa.int64()), "bound": pa.array([found], pa.int64())})
+
+    found = lengths.groupBy().applyInArrow(bounds, "length_bound long, bound long")
+    used = packed.agg(F.countDistinct("sequence_id").alias("sequences"))
+    both = used.unionByName(found, allowMissingColumns=True).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("sequences", "length_bound", "bound")])
+    return both.withColumn("certified", F.col("sequences") == F.col("bound"))
