@@ -11,12 +11,14 @@ As everything after the embeddings is linear, scoring needs one number per
 embedding row; the executors get that vector.
 
 Learning takes rows of ``labels`` that ``held_out`` leaves in, chosen by a hash
-of doc_id: at most about ``COUNT_DOCS`` of each label, of texts of at most
-``FIT_CHARS`` characters, equal texts once. In how many of them each embedding
-row occurs is counted on the executors; rows in fewer than ``MIN_DOCS``, or
-whose share differs between the labels by less than ``MIN_ERRORS`` standard
-errors, stay zero, as a few thousand texts would teach them noise. At most
-about ``FIT_DOCS`` toxic texts and twice as many others are trained on.
+of doc_id: at most about ``COUNT_DOCS`` of each label, whole texts, equal texts
+once. In how many of them each embedding row occurs is counted on the
+executors; rows in fewer than ``MIN_DOCS``, or whose share differs between the
+labels by less than ``MIN_ERRORS`` standard errors, stay zero, as a few thousand
+texts would teach them noise. At most about ``FIT_DOCS`` toxic texts and twice
+as many others are trained on. A text's mean is a weighted sum of embedding
+rows, so executors reduce texts to those weights and the driver, which trains,
+gets no text, however long.
 
 Defined cases: a null, empty or blank text scores the share of toxic labels
 (0 without any labels, as does every text then). A document labelled more than
@@ -35,12 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, ragged, slices, text_bytes, tune_arrow, unit_hash
+from .common import held_out, materialise, named, pick, ragged, slices, text_bytes, tune_arrow, unit_hash, whole
 
 GRAMS, BUCKETS, WIDTH = (3, 4, 5), 1 << 16, 8
-COUNT_DOCS, FIT_DOCS, FIT_CHARS = 8000, 1500, 20_000
+COUNT_DOCS, FIT_DOCS = 8000, 1500
 MIN_DOCS, MIN_ERRORS = 10, 4.0
-EPOCHS, RATE, DECAY, SEED = 200, 0.1, 1e-6, 5
+EPOCHS, RATE, DECAY, SEED, GAIN = 150, 0.1, 1e-4, 5, 100.0
 #: Characters cut from the ends of a word.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -99,54 +101,6 @@ def _mean(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Spread:
-    """The sparse mean ``parts -> wholes`` of one column, and its transpose.
-
-    Parts that are left out are zero: they count in a mean, and cost nothing else.
-    """
-
-    def __init__(self, parts: np.ndarray, up: np.ndarray, counts: np.ndarray, n_parts: int):
-        """``up`` is the whole of each part kept, in order; ``counts`` the parts of each whole, kept or not."""
-        self.parts, self.up = parts, up
-        self.weight = (1 / np.maximum(counts, 1)).astype(np.float32)
-        self.wholes, self.starts = np.unique(self.up, return_index=True)
-        order = np.argsort(self.parts, kind="stable")
-        self.down = self.up[order]
-        self.used, self.first = np.unique(self.parts[order], return_index=True)
-        self.n_wholes, self.n_parts = len(counts), n_parts
-
-    def reached(self) -> np.ndarray:
-        """Wholes with a part that isn't left out."""
-        out = np.zeros(self.n_wholes, bool)
-        out[self.wholes] = True
-        return out
-
-    def forward(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n_wholes, np.float32)
-        if len(self.parts):
-            out[self.wholes] = np.add.reduceat(values[self.parts], self.starts)
-        return out * self.weight
-
-    def backward(self, grads: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n_parts, np.float32)
-        if len(self.parts):
-            out[self.used] = np.add.reduceat((grads * self.weight)[self.down], self.first)
-        return out
-
-
-def _bags(words: pa.Array, live: np.ndarray, step: int = 50_000) -> _Spread:
-    """The mean from embedding rows to words, of live rows; built a step at a time, as most rows aren't."""
-    parts, up, counts = [], [], []
-    for i in range(0, len(words), step):
-        rows, ends = subwords(words.slice(i, step))
-        counts.append(np.diff(ends))
-        kept = live[rows]
-        parts.append(rows[kept].astype(np.int32))
-        up.append(np.repeat(np.arange(i, i + len(ends) - 1, dtype=np.int32), counts[-1])[kept])
-    joined = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (parts, up, counts)]
-    return _Spread(*joined, len(live))
-
-
 def occurrences(texts: pa.Array) -> np.ndarray:
     """In how many of the texts each embedding row occurs."""
     words, ends = split_words(texts)
@@ -171,37 +125,76 @@ def telling_rows(counts: np.ndarray, sizes: np.ndarray, least: int = MIN_DOCS, e
     return (counts.sum(axis=0) >= least) & (np.abs(gap) >= errors * error) & (error > 0)
 
 
-def train(texts: pa.Array, labels: np.ndarray, live: np.ndarray, epochs: int = EPOCHS, decay: float = DECAY, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(one number per embedding row, bias) of the trained model, whose log odds are their mean plus the bias."""
+def bags(texts: pa.Array, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, weights, ends): how much each live embedding row weighs in each text's mean of its words' means.
+
+    Rows that aren't live are zero: they count in a mean and are left out here.
+    """
     words, ends = split_words(texts)
     coded = words.dictionary_encode()
-    to_words = _bags(coded.dictionary, live)
-    codes = np.asarray(coded.indices)
-    kept = to_words.reached()[codes]
-    to_texts = _Spread(codes[kept], np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))[kept], np.diff(ends), len(coded.dictionary))
+    grams, gram_ends = subwords(coded.dictionary)
+    kept = live[grams]
+    own = grams[kept]
+    upto = np.concatenate([[0], np.cumsum(kept)])[gram_ends]
+    share = 1 / np.maximum(np.diff(gram_ends), 1)
+    codes = np.asarray(coded.indices, np.int64)
+    rows, weights, counts = [], [], []
+    for i in range(len(ends) - 1):
+        code, n = np.unique(codes[ends[i] : ends[i + 1]], return_counts=True)
+        sizes = upto[code + 1] - upto[code]
+        found = own[ragged(upto[code], sizes)]
+        row, place = np.unique(found, return_inverse=True)
+        rows.append(row)
+        weights.append(np.bincount(place, np.repeat(n * share[code], sizes), len(row)) / max(1, ends[i + 1] - ends[i]))
+        counts.append(len(row))
+    joined = [np.concatenate(x) if x else np.empty(0) for x in (rows, weights)]
+    return joined[0].astype(np.int32), joined[1].astype(np.float32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Sums of stretches of columns that begin at ``starts``, placed at ``at`` of ``n``."""
+    out = np.zeros((len(values), n), np.float32)
+    if values.shape[1]:
+        out[:, at] = np.add.reduceat(values, starts, axis=1)
+    return out
+
+
+def train(rows: np.ndarray, weights: np.ndarray, ends: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, decay: float = DECAY, seed: int = SEED, gain: float = GAIN) -> tuple[np.ndarray, float]:
+    """(one number per embedding row, bias) of the model trained on ``bags``; a text's log odds are the weighted sum plus the bias.
+
+    Means are taken ``gain`` times, a fixed factor on the softmax's weights, so
+    that steps of one size serve a word among hundreds and the bias alike.
+    """
+    weights = weights * np.float32(gain)
+    used, local = np.unique(rows, return_inverse=True)
+    texts = np.repeat(np.arange(len(labels)), np.diff(ends))
+    filled = np.flatnonzero(np.diff(ends))
+    order = np.argsort(local, kind="stable")
+    begins = np.searchsorted(local[order], np.arange(len(used)))
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((WIDTH, BUCKETS)) * 0.1).astype(np.float32) * live
+    table = (rng.standard_normal((WIDTH, BUCKETS)) * 0.1).astype(np.float32)[:, used]
     out = (rng.standard_normal((WIDTH, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     onehot = np.eye(2, dtype=np.float32)[labels]
     params = [table, out, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, epochs + 1):
-        vectors = np.stack([to_texts.forward(to_words.forward(row)) for row in table], axis=1)
+        vectors = _sums(table[:, local] * weights, ends[:-1][filled], len(labels), filled).T
         logits = vectors @ out + bias
         logits -= logits.max(axis=1, keepdims=True)
         share = np.exp(logits)
         share /= share.sum(axis=1, keepdims=True)
         error = (share - onehot) / len(labels)
-        back = error @ out.T
-        grads = [np.stack([to_words.backward(to_texts.backward(np.ascontiguousarray(back[:, k]))) for k in range(WIDTH)]), vectors.T @ error, error.sum(axis=0)]
-        grads[0] = (grads[0] + decay * table) * live
+        back = (error @ out.T).T
+        grads = [_sums((back[:, texts] * weights)[:, order], begins, len(used), np.arange(len(used))) + decay * table, vectors.T @ error, error.sum(axis=0)]
         rate = RATE * (1 - (step - 1) / epochs)
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
-    return (out[:, 1] - out[:, 0]) @ table, float(bias[1] - bias[0])
+    number = np.zeros(BUCKETS, np.float32)
+    number[used] = gain * ((out[:, 1] - out[:, 0]) @ table)
+    return number, float(bias[1] - bias[0])
 
 
 class Model:
@@ -221,11 +214,14 @@ class Model:
         return np.where(np.diff(ends) > 0, 1 / (1 + np.exp(-np.clip(odds, -500, 500))), self.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, count_docs: int = COUNT_DOCS, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
-    """Choose embedding rows from counts made on the executors, and train on the driver, on bounded samples."""
+def fit(docs: DataFrame, labels: DataFrame, count_docs: int = COUNT_DOCS, fit_docs: int = FIT_DOCS) -> Model:
+    """Choose embedding rows from counts made on the executors, and train on the driver, on bounded samples.
+
+    The driver gets no text, only the sampled texts' weights of the chosen rows.
+    """
     spark = docs.sparkSession
     tune_arrow(spark)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
+    known = pick(labels, ["doc_id", "toxic"]).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -235,9 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, count_docs: int = COUNT_DOCS, fit_do
     share = F.when(F.col("toxic") == 1, min(1.0, count_docs / sizes[1])).otherwise(min(1.0, count_docs / sizes[0]))
     draw = unit_hash("doc_id", seed=13)
     chosen = known.where(draw < share).withColumn("rank", draw / share)  # about 2 * count_docs rows at any size
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= fit_chars)
     # copies of a text would count its words again and again
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("rank").alias("rank"))
+    sample = whole(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("rank").alias("rank"))
     sample = materialise(sample, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +254,22 @@ def fit(docs: DataFrame, labels: DataFrame, count_docs: int = COUNT_DOCS, fit_do
         return untrained
     live = telling_rows(counts[:, :BUCKETS], counts[:, BUCKETS])
     part = F.when(F.col("toxic") == 1, fit_docs / min(count_docs, sizes[1])).otherwise(2 * fit_docs / min(count_docs, sizes[0]))
-    rows = sample.where(F.col("rank") < part).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    toxic = rows.column("toxic").to_numpy()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(0), 1 << 21):
+                rows, weights, ends = bags(texts, live)
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (rows, weights)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in batch.columns[1:]], *lists], names=["doc_id", "toxic", "rows", "weights"])
+
+    # ties of doc_id are broken by what is trained on, so reruns agree
+    held = sample.where(F.col("rank") < part).select("text", "doc_id", "toxic").mapInArrow(weigh, "doc_id long, toxic int, rows array<int>, weights array<float>").orderBy("doc_id", "toxic", "rows", "weights").toArrow()
+    toxic = held.column("toxic").to_numpy()
     if len(set(toxic.tolist())) < 2:
         return untrained
-    row, bias = train(rows.column("text").combine_chunks().cast(pa.large_string()), toxic, live)
+    rows, weights = held.column("rows").combine_chunks(), held.column("weights").combine_chunks()
+    ends = np.asarray(rows.offsets, np.int64)
+    row, bias = train(rows.flatten().to_numpy(), weights.flatten().to_numpy(), ends - ends[0], toxic)
     return Model(row.astype(np.float32), bias, prior)
 
 
@@ -272,14 +278,14 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> D
     spark = docs.sparkSession
     tune_arrow(spark)
     shared = spark.sparkContext.broadcast(model)  # one float per embedding row
-    rows = docs.select("text", *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
-    fields = [rows.schema[f"kept_{k}"].dataType.simpleString() for k in range(len(keep))]
+    rows = pick(docs, ["text"], keep)
+    places = [f"kept_{k}" for k in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(0), 1 << 21):
                 found = shared.value.score(part)
-                yield pa.RecordBatch.from_arrays([*[batch.column(k + 1).slice(at, len(part)) for k in range(len(keep))], pa.array(found)], names=[*[f"kept_{k}" for k in range(len(keep))], "score"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(part)) for c in batch.columns[1:]], pa.array(found)], names=[*places, "score"])
 
-    out = rows.mapInArrow(run, ", ".join([*[f"kept_{k} {t}" for k, t in enumerate(fields)], "score double"]))
-    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = rows.mapInArrow(run, ", ".join([*[f"{p} {rows.schema[p].dataType.simpleString()}" for p in places], "score double"]))
+    return out.select(*named(keep), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
