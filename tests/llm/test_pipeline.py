@@ -46,6 +46,21 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
     assert Counter(r["doc_id"] for r in twice)[1] == 1
 
 
+def test_columns_of_any_name_pass_every_stage(spark, tmp_path):
+    """Dots, blanks, names that stages use themselves, and the same name in another case."""
+    docs = awkward(spark)
+    folder = small_tables(spark, tmp_path, docs)
+    names = ["a.b", "row_number_", "row", "kept_0", "kept_doc_id", "copy", "TEXT", "column 1", "deal", "mark", "score", "fp", "", "`"]
+    wide = docs.toDF("doc_id", "text", "lang", "source", *names[:5]).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names[5:])])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, plain = stage(spark, wide, folder), stage(spark, docs, folder)
+        assert got.columns == wide.columns, name
+        ids = lambda df: Counter(tuple(r)[:4] for r in df.collect())
+        assert ids(got) == ids(plain), name
+        assert not set(map(tuple, got.collect())) - set(map(tuple, wide.collect())), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == corpus_pipeline.STAGES[-1][1](spark, docs, folder).count()
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, DATA).toPandas()
     check_sequences(got)
