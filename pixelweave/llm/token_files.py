@@ -13,8 +13,9 @@ Layout of a file, all integers little-endian:
 Any run of ids is read by fetching only the blocks it touches.
 
 Documents lie in ascending doc_id order, nulls first, over files numbered in
-that order. A null or empty text is the end id alone. Rows with equal ids
-follow each other by text. An empty table makes no file. Extra columns are ignored.
+that order. A null or empty text is the end id alone. Rows of equal doc_id
+follow each other by a hash of their texts. A long text is one document, however
+many blocks it takes. An empty table makes no file. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,17 +157,18 @@ def write_files(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: i
 
     Spark cuts the range of doc_id into as many parts as there are files, of
     about ``file_chars`` characters, and one task streams a file; ``shard``
-    numbers them in doc_id order.
+    numbers them in doc_id order. Rows of equal doc_id, even equal ones, may lie
+    in several files. Texts are shuffled, as they take less room than their ids.
     """
     spark = docs.sparkSession
     tune_arrow(spark)
-    docs = whole(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = whole(docs).withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     folder = folder or new_path(spark, "tokens")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, round(chars / file_chars))
-    order = F.col("doc_id").asc_nulls_first()
-    dealt = docs.repartitionByRange(shards, order) if shards > 1 else docs.coalesce(1)
-    dealt = dealt.sortWithinPartitions(order, F.col("text").asc_nulls_first()).withColumn("shard", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), "mark", "row"]
+    dealt = docs.repartitionByRange(shards, *order) if shards > 1 else docs.coalesce(1)
+    dealt = dealt.sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     bits = bits_for(vocabulary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

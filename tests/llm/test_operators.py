@@ -201,17 +201,18 @@ def test_small_files_and_awkward_rows(spark):
     docs = awkward(spark)
     rows = docs.select("doc_id", "text").collect()
     ids = library_ids([r["text"] for r in rows], 2)
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, zlib.crc32(ids[i].tobytes())))
+    mark = lambda t: int(np.uint64(42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, mark(rows[i]["text"])))
     starts = np.cumsum([0, *[len(ids[i]) for i in order]])
     want = sorted((-1 if rows[i]["doc_id"] is None else rows[i]["doc_id"], int(s), len(ids[i]), zlib.crc32(ids[i].tobytes())) for i, s in zip(order, starts, strict=False))
-    for file_ids in (10**9, 3000, 20):
-        got = token_files.read_files(token_files.write_files(docs, tokens.public_path(), 49_408, 2, file_ids=file_ids)).toPandas()
+    for file_chars in (10**9, 20_000, 100):
+        got = token_files.read_files(token_files.write_files(docs, tokens.public_path(), 49_408, 2, file_chars=file_chars)).toPandas()
         assert sorted((-1 if math.isnan(d) else int(d), s, n, c) for d, s, n, c in got.itertuples(index=False, name=None)) == want
 
 
 def test_copies_of_one_row_fill_several_files(spark):
     docs = spark.range(400).selectExpr("CAST(7 AS LONG) AS doc_id", "'alpha beta gamma' AS text")
-    manifest = token_files.write_files(docs, tokens.public_path(), 49_408, 2, file_ids=300)
+    manifest = token_files.write_files(docs, tokens.public_path(), 49_408, 2, file_chars=2000)
     assert manifest.count() > 2 and token_files.read_files(manifest).count() == 400
 
 
