@@ -98,22 +98,27 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
     places = [f"kept_{k}" for k in range(len(keep))]
     text = F.col("text").cast("binary")
     counted = pick(docs, ["doc_id", "source", "text"], keep).select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(text)).alias("nameless"), F.xxhash64(text).alias("mark"), *places)
-    sized = counted if keep else materialise(counted, "sizes")
+    sized = materialise(counted.drop(*places), "sizes")
     targets = materialise(source_targets(sized, weights, volume, limit), "targets")
     shards = max(1, -(-(targets.agg(F.sum("n_docs")).first()[0] or 0) // shard_docs))
     name = F.coalesce(F.col("doc_id").cast("string"), F.col("nameless"), F.lit(""))
-    dealt = sized.withColumn("deal", F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary")))
-    dealt = dealt.withColumn("shard", F.shiftright(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") * shards, 32))
+    deal = F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary"))
+    shard = F.shiftright(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") * shards, 32)
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("source_size") / F.col("source_size")).otherwise(F.lit(0.0))  # rounds as the SQL does
     seated = materialise(shard_quotas(targets.select(F.lit(0).alias("shard"), "place", F.col("source_size").alias("line"), share.alias("share")), block, limit), "quotas")
     drawn = F.when(F.col("line") > 0, _draw(F.lit(str(seed)), F.lit("0"), F.col("place").cast("string")) % F.ceil(F.col("line") / block) * block).otherwise(F.lit(0))
     quotas = targets.join(seated.select("place", "line", "quota", drawn.alias("first")), "place")
-    placed = dealt.join(quotas.select(F.col("source").alias("of"), "place", "source_size", "target", "line", "quota", "first"), F.col("source").eqNullSafe(F.col("of")))
+    # a row per source, written so that its true size decides whether it is broadcast
+    quotas = materialise(quotas.select(F.col("source").alias("of"), "place", "source_size", "target", "line", "quota", "first"), "shares")
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("deal", deal).withColumn("shard", shard).join(quotas, F.col("source").eqNullSafe(F.col("of")))
+
     before = W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
-    stretches = placed.groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
+    stretches = place(sized).groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
     starts = materialise(stretches.select(F.col("shard").alias("s_shard"), F.col("place").alias("s_place"), F.coalesce(F.sum("stretch").over(before), F.lit(0)).alias("start")), "starts")
     order = W.partitionBy("shard", "place").orderBy("deal", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
-    laid = placed.withColumn("upto", F.sum("size").over(order))
+    laid = place(counted if keep else sized).withColumn("upto", F.sum("size").over(order))
     met = laid.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("place") == F.col("s_place")))
     met = met.withColumn("end", F.col("start") + F.col("upto")).withColumn("begin", F.col("end") - F.col("size"))
     passes = F.when(F.col("line") > 0, F.floor(F.col("quota") / F.col("line"))).otherwise(F.lit(0)).cast("long")
