@@ -23,13 +23,15 @@ from .common import materialise
 MIN_SCORE = 0.5
 
 
+def _at(docs: DataFrame, name: str) -> str:
+    """Where a needed column travels; it may be spelt in another case."""
+    names = docs.columns
+    return f"kept_{names.index(name) if name in names else [c.lower() for c in names].index(name.lower())}"
+
+
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns by name, and all columns by place, as kept_0, kept_1, ..."""
-    by_place = [f"column {k}" for k in range(len(docs.columns))]
-    names, folded = docs.columns, [c.lower() for c in docs.columns]
-    at = [names.index(n) if n in names else folded.index(n.lower()) for n in needed]
-    flat = docs.toDF(*by_place)
-    return flat.select(*[F.col(f"`{by_place[k]}`").alias(n) for n, k in zip(needed, at, strict=True)], *[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(by_place)])
+    return docs.toDF(*_places(docs)).select(*[F.col(_at(docs, n)).alias(n) for n in needed], *_places(docs))
 
 
 def _places(docs: DataFrame) -> list[str]:
@@ -57,9 +59,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the smallest doc_id, and one row of that."""
-    rows = materialise(_carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    prints = materialise(simhash.fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
-    ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = materialise(docs.toDF(*_places(docs)).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col(_at(docs, "text")).alias("text"))
+    prints = materialise(simhash.fingerprints(texts).withColumnRenamed("doc_id", "row"), "fingerprints")
+    ids = rows.select("row", F.col(_at(docs, "doc_id")).cast("long").alias("doc_id"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     per_print = prints.join(ids, "row").groupBy("fp").agg(F.min(first).alias("first"))
     labelled = simhash.label(per_print).groupBy("root").agg(F.min("first").alias("first"))
