@@ -15,7 +15,7 @@ of doc_id: at most about ``COUNT_DOCS`` of each label, whole texts, equal texts
 once. In how many of them each embedding row occurs is counted on the
 executors; rows in fewer than ``MIN_DOCS``, or whose share differs between the
 labels by less than ``MIN_ERRORS`` standard errors, stay zero, as a few thousand
-texts would teach them noise. At most about ``FIT_DOCS`` toxic texts and twice
+texts would teach them noise, and so do all but the ``MOST_ROWS`` that differ most. At most about ``FIT_DOCS`` toxic texts and twice
 as many others are trained on. A text's mean is a weighted sum of embedding
 rows, so executors reduce texts to those weights and the driver, which trains,
 gets no text, however long.
@@ -41,7 +41,7 @@ from .common import held_out, materialise, named, pick, ragged, slices, text_byt
 
 GRAMS, BUCKETS, WIDTH = (3, 4, 5), 1 << 16, 8
 COUNT_DOCS, FIT_DOCS = 8000, 1500
-MIN_DOCS, MIN_ERRORS = 10, 4.0
+MIN_DOCS, MIN_ERRORS, MOST_ROWS = 10, 4.0, 512
 EPOCHS, RATE, DECAY, SEED, GAIN = 150, 0.1, 1e-4, 5, 100.0
 #: Characters cut from the ends of a word.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -114,15 +114,18 @@ def occurrences(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def telling_rows(counts: np.ndarray, sizes: np.ndarray, least: int = MIN_DOCS, errors: float = MIN_ERRORS) -> np.ndarray:
-    """Embedding rows whose share of texts differs between the labels by ``errors`` standard errors.
+def telling_rows(counts: np.ndarray, sizes: np.ndarray, least: int = MIN_DOCS, errors: float = MIN_ERRORS, most: int = MOST_ROWS) -> np.ndarray:
+    """The ``most`` embedding rows whose share of texts differs most between the labels, in standard errors, ``errors`` at least.
 
     ``counts`` has a row of occurrences per label, ``sizes`` the texts of each.
     """
     share = counts.sum(axis=0) / sizes.sum()
-    gap = counts[1] / sizes[1] - counts[0] / sizes[0]
+    gap = np.abs(counts[1] / sizes[1] - counts[0] / sizes[0])
     error = np.sqrt(share * (1 - share) * (1 / sizes[0] + 1 / sizes[1]))
-    return (counts.sum(axis=0) >= least) & (np.abs(gap) >= errors * error) & (error > 0)
+    telling = np.where((counts.sum(axis=0) >= least) & (error > 0), gap / np.where(error > 0, error, 1), 0)
+    live = np.zeros(len(telling), bool)
+    live[np.argsort(-telling, kind="stable")[:most]] = True
+    return live & (telling >= errors)
 
 
 def bags(texts: pa.Array, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
