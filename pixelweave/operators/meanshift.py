@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbours import gather
+from .tiles import KEY, each_tile, keyed
 
 MAX_STEPS, STOP_SHIFT, FIRST_SHIFT, LARGEST = 5, 3, 5, 16
 #: Sides, without halo, of a tile and of the blocks it is worked through in.
@@ -88,8 +89,8 @@ def _window_sums(colour: np.ndarray, coded: np.ndarray, here: np.ndarray, corner
 def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int, block: int):
     """All pixels of a tile, a block that caches hold at a time."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        left, top, side = key[1].as_py() * tile - radius, key[2].as_py() * tile - radius, tile + 2 * radius
+    def one(image: int, tile_x: int, tile_y: int, rows: pa.Table) -> pa.Table:
+        left, top, side = tile_x * tile - radius, tile_y * tile - radius, tile + 2 * radius
         x, y = (rows.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
         at = (y - top) * side + (x - left)
         here, colour = np.zeros((side, side), bool), np.zeros((3, side, side))
@@ -103,9 +104,9 @@ def _tile_filter(radius: int, colour_range: float, max_steps: int, tile: int, bl
             if here[y0 + radius : y0 + block + radius, x0 + radius : x0 + block + radius].any()
         ]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, t) for t in ("i4", "i4", "f8", "f8", "f8", "i4")]
-        return pa.table({"image_id": np.full(len(columns[0]), key[0].as_py(), np.int64), **dict(zip(("x", "y", "f0", "f1", "f2", "iters"), columns, strict=True))})
+        return pa.table({"image_id": np.full(len(columns[0]), image, np.int64), **dict(zip(("x", "y", "f0", "f1", "f2", "iters"), columns, strict=True))})
 
-    return run
+    return lambda rows: pa.concat_tables([one(*place, own[0]) for place, own in each_tile(rows)])
 
 
 def _block_filter(here: np.ndarray, colour: np.ndarray, corner: tuple[int, int], radius: int, colour_range: float, max_steps: int) -> tuple[np.ndarray, ...]:
@@ -148,7 +149,7 @@ def mean_shift(pixels: DataFrame, radius: int, colour_range: float, max_steps: i
         block = max(min(BLOCK, tile), 2 * radius)
         tile = -(-tile // block) * block
         spread = with_halo(pixels.select("image_id", "x", "y", "c0", "c1", "c2"), radius, tile)
-        return spread.groupBy("image_id", "tile_x", "tile_y").applyInArrow(_tile_filter(radius, float(colour_range), max_steps, tile, block), "image_id long, x int, y int, f0 double, f1 double, f2 double, iters int")
+        return keyed(spread).groupBy(KEY).applyInArrow(_tile_filter(radius, float(colour_range), max_steps, tile, block), "image_id long, x int, y int, f0 double, f1 double, f2 double, iters int")
     state = start(pixels, radius)
     for _ in range(max_steps):
         state = step(state, colour_range)

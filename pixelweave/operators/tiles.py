@@ -7,7 +7,7 @@ A kernel solves its tile alone; ``lift`` joins the few trees that cross a border
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,28 @@ def deal(pixels: DataFrame, reach: int, tile: int) -> DataFrame:
     return pixels.withColumn("tile_x", both("x")).withColumn("tile_y", both("y"))
 
 
+#: Numbers an image's tiles; Spark sorts one number much faster than three columns.
+KEY = "tile_key"
+
+
+def keyed(tiled: DataFrame) -> DataFrame:
+    """Adds a hash of image_id, tile_x and tile_y to group by; ``each_tile`` takes those apart that share one."""
+    return tiled.withColumn(KEY, F.xxhash64("image_id", "tile_x", "tile_y"))
+
+
+def each_tile(*sides: pa.Table) -> Iterator[tuple[tuple[int, int, int], list[pa.Table]]]:
+    """((image, tile_x, tile_y), rows of each side) for the tiles of the first that came together as one group."""
+    names = ("image_id", "tile_x", "tile_y")
+    ids = [np.stack([t.column(c).to_numpy() for c in names]) for t in sides]
+    if ids[0].shape[1]:
+        first = ids[0][:, :1]
+        if all((x == first).all() for x in ids):
+            yield tuple(int(v) for v in first[:, 0]), list(sides)
+        else:
+            for tile in np.unique(ids[0], axis=1).T:
+                yield tuple(int(v) for v in tile), [t.filter(pa.array((x == tile[:, None]).all(axis=0))) for t, x in zip(sides, ids, strict=True)]
+
+
 def own_tile(g: Column, width: int, tile: int) -> tuple[Column, Column]:
     """(tile_x, tile_y) of a place in the raster."""
     return F.floor((g % width) / tile).alias("tile_x"), F.floor(F.floor(g / width) / tile).alias("tile_y")
@@ -151,44 +173,56 @@ def _table(image: int, **columns: np.ndarray | None) -> pa.Table:
     return pa.table({"image_id": pa.array(np.full(n, image, np.int64)), **{k: pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for k, c in columns.items()}})
 
 
-def _corner(key: tuple, tile: int) -> tuple[int, int] | None:
-    return (key[1].as_py() * tile, key[2].as_py() * tile) if len(key) == 3 else None
+def _per_group(solve: Callable[..., pa.Table], whole: bool, tile: int) -> Callable[..., pa.Table]:
+    """``solve`` (image, corner, rows, ...) as a function of Arrow groups: whole images, or tiles by ``KEY``."""
+
+    def run(key: tuple, *sides: pa.Table) -> pa.Table:
+        if whole:
+            return solve(key[0].as_py(), None, *sides)
+        found = [solve(image, (tile_x * tile, tile_y * tile), *own) for (image, tile_x, tile_y), own in each_tile(*sides)]
+        return pa.concat_tables(found) if found else solve(0, None, *sides)
+
+    return run
 
 
 def _grouped(pixels: DataFrame, width: int, height: int, reach: int, tile: int):
     if fits(width, height, tile):
         return pixels.groupBy("image_id")
-    return deal(pixels, reach, tile).groupBy("image_id", "tile_x", "tile_y")
+    return keyed(deal(pixels, reach, tile)).groupBy(KEY)
 
 
 def flood_parents(pixels: DataFrame, width: int, height: int, radius: int, limit: float, colours: tuple[str, ...], tile: int = TILE, device: bool = False) -> DataFrame:
     """(image_id, g, p) of every pixel."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        grid = Grid(rows, width, colours, _corner(key, tile))
+    def solve(image: int, corner: tuple[int, int] | None, rows: pa.Table) -> pa.Table:
+        grid = Grid(rows, width, colours, corner)
         own = np.flatnonzero(grid.own)
-        return _table(key[0].as_py(), g=grid.place(own), p=grid.place(parents(grid, radius, limit, device)[own]))
+        return _table(image, g=grid.place(own), p=grid.place(parents(grid, radius, limit, device)[own]))
 
-    return _grouped(pixels.select("image_id", "x", "y", *colours), width, height, radius, tile).applyInArrow(run, "image_id long, g long, p long")
+    grouped = _grouped(pixels.select("image_id", "x", "y", *colours), width, height, radius, tile)
+    run = _per_group(solve, fits(width, height, tile), tile)
+    return grouped.applyInArrow(lambda key, rows: run(key, rows), "image_id long, g long, p long")
 
 
 def flood_roots(pixels: DataFrame, width: int, height: int, radius: int, limit: float, colours: tuple[str, ...], tile: int = TILE, device: bool = False) -> DataFrame:
     """(image_id, g, root) of every pixel: where its chain of parents ends."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        grid = Grid(rows, width, colours, _corner(key, tile))
+    def solve(image: int, corner: tuple[int, int] | None, rows: pa.Table) -> pa.Table:
+        grid = Grid(rows, width, colours, corner)
         up = parents(grid, radius, limit, device)
         up[~grid.own.reshape(-1)] = np.flatnonzero(~grid.own)  # a chain that leaves the tile stops in the halo
         while not ((far := up[up]) == up).all():
             up = far
         own = np.flatnonzero(grid.own)
-        image, root = key[0].as_py(), grid.place(up[own])
+        root = grid.place(up[own])
         solved = _table(image, g=grid.place(own), root=root, other=None)
         beyond = np.unique(root[~grid.own.reshape(-1)[up[own]]])
         return pa.concat_tables([solved, _table(image, g=None, root=beyond, other=beyond)]) if len(beyond) else solved
 
-    solved = _grouped(pixels.select("image_id", "x", "y", *colours), width, height, radius, tile).applyInArrow(run, SOLVED)
-    return solved.select("image_id", "g", "root") if fits(width, height, tile) else lift(solved)
+    whole = fits(width, height, tile)
+    run = _per_group(solve, whole, tile)
+    solved = _grouped(pixels.select("image_id", "x", "y", *colours), width, height, radius, tile).applyInArrow(lambda key, rows: run(key, rows), SOLVED)
+    return solved.select("image_id", "g", "root") if whole else lift(solved)
 
 
 def component_roots(pixels: DataFrame, width: int, height: int, near: Callable[[np.ndarray], np.ndarray], colours: tuple[str, ...], seeds: DataFrame | None = None, tile: int = TILE, ranked: bool = False) -> DataFrame:
@@ -200,8 +234,8 @@ def component_roots(pixels: DataFrame, width: int, height: int, near: Callable[[
     """
     whole = fits(width, height, tile)
 
-    def solve(key: tuple, rows: pa.Table, ties: pa.Table | None) -> pa.Table:
-        image, grid = key[0].as_py(), Grid(rows, width, colours, _corner(key, tile))
+    def solve(image: int, corner: tuple[int, int] | None, rows: pa.Table, ties: pa.Table | None = None) -> pa.Table:
+        grid = Grid(rows, width, colours, corner)
         left, up = np.zeros((2, *grid.shape), bool)
         if grid.shape[1] > 1:
             left[:, 1:] = near(grid.distance(0, 1))
@@ -240,12 +274,13 @@ def component_roots(pixels: DataFrame, width: int, height: int, near: Callable[[
         return pa.concat_tables(out)
 
     grouped = _grouped(pixels.select("image_id", "x", "y", *colours), width, height, 1, tile)
+    run = _per_group(solve, whole, tile)
     if seeds is None:
-        solved = grouped.applyInArrow(lambda key, rows: solve(key, rows, None), SOLVED)
+        solved = grouped.applyInArrow(lambda key, rows: run(key, rows), SOLVED)
     else:
         ties = seeds.where("g != label").select("image_id", "g", "label")
-        keyed = ties.groupBy("image_id") if whole else ties.select("*", *own_tile(F.col("g"), width, tile)).groupBy("image_id", "tile_x", "tile_y")
-        solved = grouped.cogroup(keyed).applyInArrow(lambda key, rows, links: solve(key, rows, links), SOLVED)
+        tied = ties.groupBy("image_id") if whole else keyed(ties.select("*", *own_tile(F.col("g"), width, tile))).groupBy(KEY)
+        solved = grouped.cogroup(tied).applyInArrow(lambda key, rows, links: run(key, rows, links), SOLVED)
     return solved.select("image_id", "g", "root") if whole else lift(solved)
 
 

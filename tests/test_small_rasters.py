@@ -246,6 +246,18 @@ def test_images_above_one_tile(spark):
     assert labels_of(flood.flood(pixels, 1100, 3, 4, 12.0)) == brute_flood(image, 4, 12.0)
 
 
+def test_tiles_of_one_key_are_taken_apart():
+    import pyarrow as pa
+
+    from pixelweave.operators.tiles import each_tile
+
+    left = pa.table({"image_id": [1, 1, 2, 1], "tile_x": [0, 0, 0, 5], "tile_y": [0, 0, 0, 0], "x": [1, 2, 3, 4]})
+    right = pa.table({"image_id": [2, 9], "tile_x": [0, 0], "tile_y": [0, 0], "g": [7, 8]})
+    got = {key: [t.column(3).to_pylist() for t in own] for key, own in each_tile(left, right)}
+    assert got == {(1, 0, 0): [[1, 2], []], (1, 5, 0): [[4], []], (2, 0, 0): [[3], [7]]}
+    assert [key for key, _ in each_tile(left.slice(0, 2))] == [(1, 0, 0)] and not list(each_tile(left.slice(0, 0)))
+
+
 def test_gaps_stay_gaps(spark):
     image = RASTERS["uniform"]
     h, w = image.shape
