@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.
+
+Defined cases: documents with a null, empty or blank text leave at the first
+stage; a null doc_id passes all stages; repeated rows are judged each and leave
+one row at the near-duplicate stage, which keeps the smallest doc_id of a group
+and one row of that; a long text is judged whole; an empty table gives an empty
+result; extra columns, whatever their names, travel to the last stage. Tables
+that stages and ``run`` write stay below the shared folder until
+``pixelweave.plans.workspace.cleanup``, as the result reads from them.
 """
 
 from __future__ import annotations
