@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,16 @@ def tune_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+@contextmanager
+def narrow_rows(spark: SparkSession) -> Iterator[None]:
+    """For tables of numbers run within: batches bounded by their rows alone, as checking bytes after each row costs more than the row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        tune_arrow(spark)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5 is 0; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
@@ -93,4 +104,4 @@ def whole(docs: DataFrame, *extra: str) -> DataFrame:
     return pick(docs, ["doc_id", "text", *extra]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-__all__ = ["WORD_PATTERN", "cleanup", "held_out", "materialise", "named", "new_path", "pick", "ragged", "slices", "text_bytes", "tune_arrow", "unit_hash", "whole"]
+__all__ = ["WORD_PATTERN", "cleanup", "held_out", "materialise", "named", "narrow_rows", "new_path", "pick", "ragged", "slices", "text_bytes", "tune_arrow", "unit_hash", "whole"]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import materialise, slices, tune_arrow, whole
+from .common import materialise, narrow_rows, slices, tune_arrow, whole
 
 SEED = 42
 RADIUS, SEGMENTS, SHINGLE = 4, 3, 4
@@ -256,7 +256,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> D
 def label(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """``nodes``, whose fp are distinct, with the root of each one's component."""
     nodes = materialise(nodes, "nodes")
-    members = connected_components(links(nodes.select("fp"), radius, segments), "src", "dst", workspace=materialise)
+    with narrow_rows(nodes.sparkSession):
+        found = materialise(links(nodes.select("fp"), radius, segments), "links")
+    members = connected_components(found, "src", "dst", workspace=materialise)
     return nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
