@@ -8,12 +8,15 @@ segments, r = m q + a, two fingerprints within r bits differ in at most q bits
 in one of the first a + 1 segments or in at most q - 1 bits in another. Each
 distinct fingerprint is filed under its segments, and looked up under every
 segment value inside those small Hamming balls; a table match is verified on
-all 64 bits. Tables are dealt by (segment, value); a table that many
-fingerprints share is cut again by the same rule on the other bits, and what is
-left is searched breadth-first: what a frontier reaches leaves the pool, so a
-dense group costs a few sweeps instead of all pairs. Each task returns a
-spanning forest of the links it finds, and the components are taken from the
-forests together.
+all 64 bits. Tables are dealt by (segment, value). Values that more than
+``CROWDED`` fingerprints share are counted first, and the tables these
+fingerprints are filed or looked up in are dealt in parts instead: by value and
+each of r + 1 cuts of the other bits, in one of which any link is equal. So a
+value that a third of all fingerprints share is spread over many tasks. Within a
+task a long table is cut again by the same rule, and what is left is searched
+breadth-first: what a frontier reaches leaves the pool, so a dense group costs a
+few sweeps instead of all pairs. Each task returns a spanning forest of the
+links it finds, and the components are taken from the forests together.
 
 Exact copies share a fingerprint and are one node, so any number of them costs
 one row. Defined cases: a null or empty text or one without words has
@@ -41,6 +44,10 @@ SEED = 42
 RADIUS, SEGMENTS, SHINGLE = 4, 3, 4
 #: Rows of a table up to which tables are compared together, and beyond which a table is cut again.
 SMALL_TABLE, TABLE_ROWS = 64, 4096
+#: Fingerprints of one segment value beyond which its tables are dealt in parts.
+CROWDED = 1 << 16
+#: Marks the key of a part, below the segment's number.
+PART = 1 << 59
 #: Cells of one distance block, and rows that a task gathers before it works.
 BLOCK, STEP_ROWS = 1 << 22, 1 << 18
 
@@ -239,25 +246,49 @@ def _probe(key: Column, segment: int):
     return lambda mask: F.struct(key.bitwiseXOR(mask).bitwiseOR(F.lit(segment << 60)).alias("key"), (mask == 0).alias("exact"))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def _cuts(radius: int, first: int, width: int) -> list[int]:
+    """Masks of ``radius`` + 1 disjoint parts of the bits outside a segment, as signed longs."""
+    free = [b for b in range(64) if not first <= b < first + width]
+    masks = [sum(1 << b for b in free[k :: radius + 1]) for k in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _in_parts(rows: DataFrame, radius: int, segments: int) -> DataFrame:
+    """Rows of tables, filed under the table and the bits of each cut instead; parts that share a hash are compared in vain."""
+    parts = None
+    for k, (first, width) in enumerate(segment_bounds(segments)):
+        keys = [F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).bitwiseAND(F.lit(PART - 1)).bitwiseOR(F.lit(k << 60 | PART)) for i, m in enumerate(_cuts(radius, first, width))]
+        here = F.shiftright("key", 60) == k
+        parts = F.when(here, F.array(*keys)) if parts is None else parts.when(here, F.array(*keys))
+    return rows.select(F.explode(parts).alias("key"), "fp", "exact")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowded: int = CROWDED) -> DataFrame:
     """Links (src, dst) that span the components of ``nodes`` (fp), which are distinct."""
     bounds, radii = segment_bounds(segments), ball_radii(radius, segments)
-    probes = []
+    files, probes, around = [], [], None
     for k, ((first, width), r) in enumerate(zip(bounds, radii, strict=True)):
         if r >= 0:
-            key = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
+            value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
             masks = F.array(*[F.lit(m).cast("long") for m in ball(width, r)])
-            probes.append(F.transform(masks, _probe(key, k)))
+            files.append(value.bitwiseOR(F.lit(k << 60)))
+            probes.append(F.transform(masks, _probe(value, k)))
+            met, here = F.transform(masks, lambda m: F.col("key").bitwiseXOR(m)), F.shiftright("key", 60) == k
+            around = F.when(here, met) if around is None else around.when(here, met)
+    # one row for each value and map task is shuffled; a table outside these holds at most ``crowded`` rows for each mask
+    counts = nodes.select(F.explode(F.array(*files)).alias("key")).groupBy("key").count()
+    hot = materialise(counts.where(F.col("count") > crowded).select(F.explode(around).alias("key")).distinct(), "crowded")
     spread = nodes.select("fp", F.explode(F.concat(*probes)).alias("p")).select("p.key", "fp", "p.exact")
-    dealt = spread.repartition("key").sortWithinPartitions("key")
+    tables = spread.join(hot, "key", "left_anti").unionByName(_in_parts(spread.join(hot, "key", "left_semi"), radius, segments))
+    dealt = tables.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_match_tables(radius, segments), "src long, dst long")
 
 
-def label(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def label(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowded: int = CROWDED) -> DataFrame:
     """``nodes``, whose fp are distinct, with the root of each one's component."""
     nodes = materialise(nodes, "nodes")
     with narrow_rows(nodes.sparkSession):
-        found = materialise(links(nodes.select("fp"), radius, segments), "links")
+        found = materialise(links(nodes.select("fp"), radius, segments, crowded), "links")
     members = connected_components(found, "src", "dst", workspace=materialise)
     return nodes.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 

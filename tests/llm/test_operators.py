@@ -267,8 +267,8 @@ def test_simhash_awkward_rows(spark):
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
 
 
-@pytest.mark.parametrize("radius,segments", [(4, 3), (4, 4), (3, 2), (5, 3)])
-def test_links_span_all_components(spark, radius, segments):
+@pytest.mark.parametrize("radius,segments,crowded", [(4, 3, simhash.CROWDED), (4, 4, simhash.CROWDED), (3, 2, simhash.CROWDED), (5, 3, simhash.CROWDED), (4, 3, 5), (3, 2, 5), (5, 3, 0)])
+def test_links_span_all_components(spark, radius, segments, crowded):
     rng = np.random.default_rng(radius)
     centres = rng.integers(0, 1 << 63, 40)
     prints = {int(c) for c in centres}
@@ -278,12 +278,28 @@ def test_links_span_all_components(spark, radius, segments):
             prints.add(int(c) ^ sum(1 << int(b) for b in flips))
     prints = sorted(prints)
     frame = spark.createDataFrame([(p, p) for p in prints], "fp long, rep long")
-    got = simhash.label(frame, radius, segments).toPandas().sort_values("fp")
+    got = simhash.label(frame, radius, segments, crowded).toPandas().sort_values("fp")
     want = brute_components(prints, prints, radius)
     groups = got.groupby("root").rep.min()
     assert got.root.map(groups).tolist() == want
 
 
+def test_a_crowded_table_is_dealt_in_parts(spark, monkeypatch):
+    """All fingerprints share one segment's bits, some with the highest bit set; no part holds them all."""
+    rng = np.random.default_rng(4)
+    high = rng.integers(0, 1 << 43, 1500, dtype=np.uint64) << np.uint64(21)
+    prints = np.unique(np.concatenate([high, high[:300] ^ np.uint64(1 << 63), high[:200] ^ np.uint64(0b111 << 40)]) | np.uint64(77)).view(np.int64)
+    frame = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    monkeypatch.setattr(simhash, "_match_tables", lambda *_: lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]) for b in batches))
+    sizes = simhash.links(frame, crowded=1000).groupBy("src").count().toPandas()
+    first = sizes[np.right_shift(sizes.src.to_numpy(np.int64), 60) == 0]
+    assert len(first) > 1000 and first["count"].max() < 200
+    monkeypatch.undo()
+    got = simhash.label(frame, crowded=1000).toPandas().sort_values("fp")
+    unsigned = [int(p) % (1 << 64) for p in got.fp]
+    assert got.root.map(got.assign(own=unsigned).groupby("root").own.min()).tolist() == brute_components(unsigned, unsigned)
+
+
 def test_large_tables_are_searched_whole(monkeypatch):
     monkeypatch.setattr(simhash, "TABLE_ROWS", 16)
     rng = np.random.default_rng(3)
