@@ -24,7 +24,8 @@ Defined cases: a null or empty text has size 0 and takes nothing. Null doc_ids
 are dealt by their text. Repeated rows are placed each; rows of equal doc_id lie
 by size and a hash of their text, and equal rows are interchangeable, so a rerun
 gives the same rows. Rows that share a doc_id, or a null one and a text, lie in
-one shard, which is sorted on disk if it is large. An empty table gives an empty
+one shard, which is sorted on disk if it is large; rows of size 0 take up no
+place in a line, so they are spread over all shards, whatever their id. An empty table gives an empty
 result. Extra columns stay if named in ``keep``, and are ignored otherwise.
 """
 
@@ -51,6 +52,14 @@ def _draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _shard(shards: int, seed: int) -> tuple[Column, Column]:
+    """(deal, shard): the hash by which a row lies in its line, and the range of it that the row is worked on in."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("nameless"), F.lit(""))
+    deal = F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary"))
+    by_deal = F.shiftright(F.conv(F.substring(deal, 1, 8), 16, 10).cast("long") * shards, 32)
+    return deal, F.when(F.col("size") > 0, by_deal).otherwise(F.monotonically_increasing_id() % shards)
+
+
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, limit: float = LIMIT) -> DataFrame:
     """source, place, source_size, n_docs, weight and target of each source."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -101,9 +110,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
     sized = materialise(counted.drop(*places), "sizes")
     targets = materialise(source_targets(sized, weights, volume, limit), "targets")
     shards = max(1, -(-(targets.agg(F.sum("n_docs")).first()[0] or 0) // shard_docs))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.col("nameless"), F.lit(""))
-    deal = F.md5(F.concat_ws("|", F.lit(str(seed)), name).cast("binary"))
-    shard = F.shiftright(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") * shards, 32)
+    deal, shard = _shard(shards, seed)
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("source_size") / F.col("source_size")).otherwise(F.lit(0.0))  # rounds as the SQL does
     seated = materialise(shard_quotas(targets.select(F.lit(0).alias("shard"), "place", F.col("source_size").alias("line"), share.alias("share")), block, limit), "quotas")
     drawn = F.when(F.col("line") > 0, _draw(F.lit(str(seed)), F.lit("0"), F.col("place").cast("string")) % F.ceil(F.col("line") / block) * block).otherwise(F.lit(0))
@@ -115,12 +122,12 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WE
         return rows.withColumn("deal", deal).withColumn("shard", shard).join(quotas, F.col("source").eqNullSafe(F.col("of")))
 
     before = W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
-    stretches = place(sized).groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
+    stretches = place(sized.where("size > 0")).groupBy("shard", "place").agg(F.sum("size").alias("stretch"))
     starts = materialise(stretches.select(F.col("shard").alias("s_shard"), F.col("place").alias("s_place"), F.coalesce(F.sum("stretch").over(before), F.lit(0)).alias("start")), "starts")
     order = W.partitionBy("shard", "place").orderBy("deal", "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = place(counted if keep else sized).withColumn("upto", F.sum("size").over(order))
-    met = laid.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("place") == F.col("s_place")))
-    met = met.withColumn("end", F.col("start") + F.col("upto")).withColumn("begin", F.col("end") - F.col("size"))
+    met = laid.join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("place") == F.col("s_place")), "left")  # rows of size 0 may have no start
+    met = met.withColumn("end", F.coalesce("start", F.lit(0)) + F.col("upto")).withColumn("begin", F.col("end") - F.col("size"))
     passes = F.when(F.col("line") > 0, F.floor(F.col("quota") / F.col("line"))).otherwise(F.lit(0)).cast("long")
     met = met.withColumn("passes", passes).withColumn("last", F.col("first") + F.col("quota") - F.col("passes") * F.col("line"))
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -604,6 +605,18 @@ def test_mixing_does_not_depend_on_shards(spark, sql):
         assert rows_of(mixing.mix(docs, shard_docs=shard_docs).toPandas()) == want
 
 
+def test_empty_texts_without_an_id_are_spread_over_shards(spark, tmp_path):
+    """They are half of all rows and share a key, but no shard holds them all."""
+    docs = spark.range(2000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "IF(id % 2 = 0, IF(id % 4 = 0, NULL, ' '), repeat('w ', CAST(id % 90 AS INT))) AS text", "IF(id % 3 = 0, NULL, concat('s', id % 5)) AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda rows: Counter((i, size, int(whole), round(target, 6), taken) for i, size, whole, target, taken in rows)
+    want = duckdb.sql(mixing.oracle(shard_docs=10**9).replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert plain(mixing.mix(docs, shard_docs=100).collect()) == plain(want)
+    counted = docs.select("doc_id", mixing.size_of(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).alias("nameless"))
+    sizes = counted.groupBy(mixing._shard(20, mixing.SEED)[1].alias("shard")).count().toPandas()
+    assert len(sizes) == 20 and sizes["count"].max() < 200
+
+
 @pytest.mark.parametrize("words", [1, 2, 3])
 def test_rare_source_of_short_documents_reaches_its_target(spark, words):
     """About one such document in a shard, whose share there is under half a block."""
