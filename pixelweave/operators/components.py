@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS
 from ..plans.components import connected_components
-from ..plans.workspace import materialise
+from ..plans.workspace import dealt, materialise
 from .tiles import TILE, component_roots, fits, own_tile, smallest_reachable
 
 ROOTS = "image_id long, g long, root long"
@@ -41,12 +41,12 @@ def roots(edges: DataFrame, width: int, height: int, tile: int = TILE) -> DataFr
     across = tiled.where("NOT inside").select("image_id", "a", "b")
     for end in ("a", "b"):
         near = solved.select("image_id", F.col("g").alias(end), F.col("root").alias(f"{end}_root"))
-        across = across.join(near, ["image_id", end], "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+        across = across.join(dealt(near), ["image_id", end], "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
     node = lambda c: F.struct("image_id", F.col(c).alias("g")).alias(c)
-    joined = connected_components(across.select(node("a"), node("b")), "a", "b", materialise)
+    joined = connected_components(across.select(node("a"), node("b")), "a", "b", materialise, dealt)
     joined = joined.select(F.col("node.image_id").alias("image_id"), F.col("node.g").alias("root"), F.col("component.g").alias("whole"))
-    lifted = solved.join(joined, ["image_id", "root"], "left").select("image_id", "g", F.coalesce("whole", "root").alias("root"))
-    alone = joined.select("image_id", F.col("root").alias("g"), F.col("whole").alias("root")).join(solved, ["image_id", "g"], "left_anti")
+    lifted = solved.join(dealt(joined), ["image_id", "root"], "left").select("image_id", "g", F.coalesce("whole", "root").alias("root"))
+    alone = joined.select("image_id", F.col("root").alias("g"), F.col("whole").alias("root")).join(dealt(solved), ["image_id", "g"], "left_anti")
     return lifted.unionByName(alone)
 
 
@@ -56,14 +56,14 @@ def dense(rooted: DataFrame) -> DataFrame:
     Ranks are taken over the distinct roots, not over the pixels.
     """
     ranks = rooted.where("g = root").select("image_id", "root", (F.row_number().over(W.partitionBy("image_id").orderBy("root")) - 1).cast("long").alias("label"))
-    return rooted.join(ranks, ["image_id", "root"]).select("image_id", "g", "label")
+    return rooted.join(dealt(ranks), ["image_id", "root"]).select("image_id", "g", "label")
 
 
 def compact(labels: DataFrame) -> DataFrame:
     """Any labels (image_id, g, label) renumbered 0, 1, ... in their order; -1 stays unlabelled."""
     used = labels.where("label >= 0").select("image_id", "label").distinct()
     ranks = used.withColumn("dense", F.row_number().over(W.partitionBy("image_id").orderBy("label")) - 1)
-    return labels.join(ranks, ["image_id", "label"], "left").select("image_id", "g", F.coalesce("dense", F.lit(-1)).cast("long").alias("label"))
+    return labels.join(dealt(ranks), ["image_id", "label"], "left").select("image_id", "g", F.coalesce("dense", F.lit(-1)).cast("long").alias("label"))
 
 
 def _numbered(pixels: DataFrame, width: int, height: int, near, colours: tuple[str, ...], seeds: DataFrame | None, tile: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.workspace import materialise
+from ..plans.workspace import dealt, materialise
 
 TILE = 1024
 
@@ -292,8 +292,8 @@ def lift(solved: DataFrame) -> DataFrame:
     solved = materialise(solved, "tiles")
     pixels = solved.where("other IS NULL").select("image_id", "g", "root")
     ends = pixels.select("image_id", F.col("g").alias("other"), F.col("root").alias("beyond"))
-    met = solved.where("other IS NOT NULL").select("image_id", "root", "other").distinct().join(ends, ["image_id", "other"])
+    met = solved.where("other IS NOT NULL").select("image_id", "root", "other").distinct().join(dealt(ends), ["image_id", "other"])
     edges = met.select(F.struct("image_id", F.col("root").alias("g")).alias("a"), F.struct("image_id", F.col("beyond").alias("g")).alias("b"))
-    joined = connected_components(edges, "a", "b", materialise)
+    joined = connected_components(edges, "a", "b", materialise, dealt)
     tops = joined.select(F.col("node.image_id").alias("image_id"), F.col("node.g").alias("root"), F.col("component.g").alias("top"))
-    return pixels.join(tops, ["image_id", "root"], "left").select("image_id", "g", F.coalesce("top", "root").alias("root"))
+    return pixels.join(dealt(tops), ["image_id", "root"], "left").select("image_id", "g", F.coalesce("top", "root").alias("root"))

@@ -44,9 +44,18 @@ def cleanup(spark: SparkSession) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
-    This cuts lineage with a table that outlives any executor, and gives the
-    planner true sizes.
+    This cuts lineage with a table that outlives any executor. The planner goes
+    by the size of its files, see ``dealt``.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles and sorts it, whatever its files' size.
+
+    Places and labels of millions of pixels pack into a few MB of Parquet, for
+    which the planner would broadcast them: rows that the driver can't hold.
+    """
+    return df.hint("merge")

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import compare, components, flood, meanshift, regions
+from pixelweave.operators import compare, components, flood, meanshift, regions, tiles
 from pixelweave.operators.components import smallest_reachable
+from pixelweave.oracles import merges
+from pixelweave.plans.workspace import materialise
 from pixelweave.sources import bins
 
 PIXEL = "image_id long, x int, y int, c0 int, c1 int, c2 int"
@@ -169,6 +171,41 @@ def test_merge_keeps_images_apart(spark):
         assert labels_of(got.where(F.col("image_id") == i)) == [0, 0, 1, 0, 0, 1]
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_merge_equals_sql(spark, sql, rounds):
+    """With gaps, copies, nulls, and pixels without a place, by groups and by joins."""
+    rng = np.random.default_rng(rounds)
+    rows = [(i, x, y, *(int(v) for v in rng.integers(0, 14, 3))) for i in (0, HASHED, -HASHED) for y in range(6) for x in range(7)]
+    rows = [r if rng.random() > 0.1 else (*r[:3], None, None, None) for r in rows if rng.random() > 0.1]
+    rows += [(*rows[k][:3], 1, None, 9) for k in (0, 0, 5, 40)]
+    pixels = spark.createDataFrame(rows, PIXEL)
+    px = pixels.toPandas()  # noqa: F841
+    want = sql.execute(f"WITH RECURSIVE px AS (SELECT CAST(image_id AS BIGINT) AS image_id, x, y, y * 7 + x AS g, c0::INTEGER AS c0, c1::INTEGER AS c1, c2::INTEGER AS c2 FROM (SELECT image_id, x, y, {', '.join(f'CASE WHEN NOT isnan(c{k}::DOUBLE) THEN c{k} END AS c{k}' for k in range(3))} FROM px)), {merges(rounds, 6.5)} SELECT image_id, g, label FROM t{rounds}").fetchall()
+    lost = spark.createDataFrame([(None, 1, 1, 0, 0, 0), (3, None, 1, 0, 0, 0)], PIXEL)
+    for tile in (components.TILE, 4):
+        got = regions.merge_regions(pixels.unionByName(lost), 7, 6, rounds=rounds, tile=tile).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("tile", [3, components.TILE])
+def test_pixels_are_not_broadcast(spark, monkeypatch, tile):
+    """Few bytes of Parquet hold the labels of millions of pixels, more than a driver does."""
+    plans = []
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    for module in (regions, components, tiles):
+        monkeypatch.setattr(module, "materialise", spy)
+    image = RASTERS["random"]
+    pixels = materialise(table(spark, [(0, image), (1, image)]), "pixels")
+    for found in (regions.merge_regions(pixels, 13, 11, tile=tile), regions.merge_round(pixels, materialise(regions.one_per_pixel(pixels, 13), "labels"), 13, 11, tile=tile), components.label_equal(pixels, 13, 11, tile=tile)):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_difference_grades(spark):
     nan = float("nan")
     values = spark.createDataFrame([(1.1, 1.0), (1.06, 1.0), (1.02, 1.0), (1.006, 1.0), (1.0, 1.0), (0.0, 0.0), (1.0, 0.0), (5.0, -1.0), (nan, 1.0)], "test double, ref double")
